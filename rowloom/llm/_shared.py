@@ -46,41 +46,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-#: Bits of the id filter: 256 bitmaps of 4 KB, so at most 1 MB reaches the driver whatever the input.
-FILTER_BUCKETS = 256
-_BITS = FILTER_BUCKETS * 32768
+#: Bitmaps of the id filter: 256 of 4 KB, so it takes 1 MB whatever the input.
+BITMAPS, BITS_EACH = 256, 32768
 
 
-def _slot(c):
-    return F.pmod(F.xxhash64(c), F.lit(_BITS))
+def _place(column: str):
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAPS * BITS_EACH))
+    return (slot / BITS_EACH).cast("int"), (slot % BITS_EACH).cast("long")
 
 
 def only_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose key may be among ids: all that are, and few others.
 
-    A bitmap of fixed size (1 MB) stands for the ids; it is applied inside the scan's own
-    stage, so texts that nothing asks for are not shuffled. When ids are many it lets
-    more through and stays right; the caller's join is what decides.
+    Bitmaps of fixed size stand for the ids and are broadcast; they are applied in the
+    scan's own stage, so texts that nothing asks for are not shuffled. When ids are many
+    they let more through and stay right; the caller's join is what decides.
     """
-    slot = _slot(F.col(id_col))
-    rows = (
-        ids.where(F.col(id_col).isNotNull())
-        .select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
-        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    )
-    whole = bytearray(FILTER_BUCKETS * 4096)
-    for r in rows:
-        at = (r.b - 1) * 4096
-        whole[at:at + 4096] = bytes(r.m)
-    if not rows:
-        return df.where(F.lit(False))
-    number, place = F.bitmap_bucket_number(_slot(F.col(key))), F.bitmap_bit_position(_slot(F.col(key)))
-    # bucket numbers start at 1 for slots from 0 on
-    at = ((number - 1) * 4096 + F.floor(place / 8) + 1).cast("int")
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(whole)), at, F.lit(1))), 16, 10).cast("int")
-    return df.where(_has(byte, place))
-
-
-def _has(byte, place):
-    powers = F.array(*[F.lit(1 << i) for i in range(8)])
-    return byte.bitwiseAND(F.element_at(powers, (place % 8 + 1).cast("int"))) != 0
+    number, bit = _place(id_col)
+    maps = ids.where(F.col(id_col).isNotNull()).select(number.alias("_b"), bit.alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    number, bit = _place(key)
+    byte = F.conv(F.hex(F.substring(F.col("_m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    power = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
+    out = df.withColumn("_b", number).join(F.broadcast(maps), "_b").where(byte.bitwiseAND(power) != 0)
+    return out.select(*df.columns)
