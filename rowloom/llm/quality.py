@@ -24,31 +24,33 @@ from ._labels import Isotonic, fold, sample
 SAMPLE = 6_000
 #: Bytes of each dictionary.
 SIZE = 112_640
+PIECE = 2_000
 LEVEL = 3
 
 
 class Model:
     def __init__(self, rows: list[tuple[str, int]]):
         half = [[t.encode() for t, y in rows[0::2] if y == k and t] for k in (0, 1)]
-        self.dictionaries = [self._content(x) for x in half]
+        self.dictionaries = [self._dictionary(x) for x in half]
         self.good = self.bad = None
         rest = rows[1::2] or rows
         self.calibrate = Isotonic([self.statistic(t.encode()) for t, _ in rest], [y for _, y in rest])
 
     @staticmethod
-    def _content(texts: list[bytes]) -> bytes:
-        """Pieces of all texts, from each its share, so that no long text fills the dictionary."""
-        if not texts:
-            return b""
-        share = max(64, 2 * SIZE // len(texts))
-        return b"\n".join(t[:share] for t in texts)[-SIZE:]
+    def _dictionary(texts: list[bytes]) -> bytes:
+        """Trained on pieces of whole texts; where they are too few for training, their own bytes."""
+        pieces = [t[i:i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+        try:
+            return zstandard.train_dictionary(SIZE, pieces, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            return b"\n".join(pieces)[-SIZE:]
 
     def __getstate__(self):
         return self.__dict__ | {"good": None, "bad": None}
 
     def _ready(self):
         if self.good is None:
-            self.bad, self.good = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in self.dictionaries]
+            self.bad, self.good = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=LEVEL) for d in self.dictionaries]
 
     def statistic(self, raw: bytes) -> float:
         self._ready()
