@@ -134,7 +134,7 @@ def edits(docs: DataFrame, *, rows_a_run: int = 4000) -> DataFrame:
         tops = sorted(r.k for r in largest.collect())
     dealt = docs.mapInArrow(_deal(tops), "run int, guest boolean, doc_id long, text string")
     parts = max(1, len(tops))
-    dealt = dealt.repartition(max(parts, 1), "run").sortWithinPartitions("run", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = dealt.repartitionById(parts, F.col("run")).sortWithinPartitions("run", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def finish(batches):
         last = None  # the row that waits for its successor

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontaminate, lz, minhash, quality, toxicity
+from . import bpe, decontaminate, lz, minhash, quality, toxicity, warc
 from ._shared import table
 
 
@@ -27,6 +27,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= 2).alias("contaminated"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), roll=4 << 20).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,7 +39,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, at=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_benchmark_decontamination, op7_byte_level_bpe, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_benchmark_decontamination, op6_warc, op7_byte_level_bpe, op8_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -52,6 +56,12 @@ links AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b W
 reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) m ON m.id = d.doc_id""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN f.first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.first < page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 100""",
     "op5_benchmark_decontamination": f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 bw AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
