@@ -55,11 +55,11 @@ def _place(column: str):
     return (slot / BITS_EACH).cast("int"), (slot % BITS_EACH).cast("long")
 
 
-def only_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of df whose key may be among ids: all that are, and few others.
+def mark_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str, name: str) -> DataFrame:
+    """df with a flag: whether the key may be among ids. True for all that are, and few others.
 
     Bitmaps of fixed size stand for the ids and are broadcast; they are applied in the
-    scan's own stage, so texts that nothing asks for are not shuffled. When ids are many
+    scan's own stage, so texts that nothing asks for need no shuffle. When ids are many
     they let more through and stay right; the caller's join is what decides.
     """
     number, bit = _place(id_col)
@@ -67,5 +67,10 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     number, bit = _place(key)
     byte = F.conv(F.hex(F.substring(F.col("_m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     power = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
-    out = df.withColumn("_b", number).join(F.broadcast(maps), "_b").where(byte.bitwiseAND(power) != 0)
-    return out.select(*df.columns)
+    out = df.withColumn("_b", number).join(F.broadcast(maps), "_b", "left")
+    return out.select(*df.columns, F.coalesce(byte.bitwiseAND(power) != 0, F.lit(False)).alias(name))
+
+
+def only_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of df whose key may be among ids."""
+    return mark_ids(df, key, ids, id_col, "_maybe").where("_maybe").drop("_maybe")
