@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontaminate, lz, minhash, quality, substrings, toxicity, warc
+from . import bpe, decontaminate, licenses, lz, minhash, quality, substrings, toxicity, warc
 from ._shared import table
 
 
@@ -14,6 +14,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0, at=0.3)
 
@@ -43,11 +47,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"), length=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_document_fingerprints, op5_benchmark_decontamination, op6_warc, op7_byte_level_bpe, op8_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scans, op3_quality_classifier, op4_document_fingerprints, op5_benchmark_decontamination, op6_warc, op7_byte_level_bpe, op8_toxicity, op10_suffix_array_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op2_license_scans": licenses.sql(0.8),
     "op1_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
