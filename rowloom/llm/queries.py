@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, decontaminate, licenses, lz, minhash, quality, substrings, toxicity, warc
+from . import bpe, decontaminate, licenses, lz, minhash, ngrams, quality, substrings, toxicity, warc
 from ._shared import table
 
 
@@ -43,11 +43,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, at=0.3)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scored(table(spark, sf_dir, "documents"), folds=10, held=0)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"), length=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scans, op3_quality_classifier, op4_document_fingerprints, op5_benchmark_decontamination, op6_warc, op7_byte_level_bpe, op8_toxicity, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scans, op3_quality_classifier, op4_document_fingerprints, op5_benchmark_decontamination, op6_warc, op7_byte_level_bpe, op8_toxicity, op9_lm_scoring, op10_suffix_array_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
