@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import cut, only_ids
+from ._shared import cut, mark_ids, only_ids
 
 MINIMA, BITS = 128, 4
 _rng = np.random.default_rng(73)
@@ -196,3 +196,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     out = rows_.select("doc_id", "n_shingles", "node").join(found.withColumnRenamed("id", "node").withColumnRenamed("component_id", "c"), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "node"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, without the rows that near_duplicates() does not keep, and once each where a row's id and text repeat.
+
+    Only rows whose id a bitmap of fixed size names are shuffled. Rows without id or words stay.
+    """
+    found = cut(near_duplicates(docs, shingle=shingle, percent=percent).select("doc_id", "kept").where("doc_id is not null"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("id_")).distinct()
+    twice = found.groupBy(F.col("doc_id").alias("id_")).count().where("count > 1").select("id_")
+    marked = mark_ids(docs, "doc_id", gone.union(twice), "id_", "maybe_")
+    some = marked.where("maybe_").join(gone, F.col("doc_id").cast("long") == F.col("id_"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return some.select(docs.columns).union(marked.where("not maybe_").select(docs.columns))
