@@ -6,7 +6,9 @@
 3. Nodes that share a band key are candidates: first each against the smallest of its
    bucket, then, in the few buckets that still hold unlinked parts, the parts against each
    other in blocks. A pair goes on if sizes allow the threshold and the collision-corrected
-   likeness from the bit counts is within six standard errors of it.
+   likeness from the bit counts is within six standard errors of it. Of the parts a pair
+   also goes only if the shingles of their pivot that both have, and all that the one with
+   fewer others has beside them, would reach the threshold: an upper bound, so no link is lost.
 4. What is left is confirmed on the full sets, from texts that a bitmap of fixed size picked
    out of the scan.
 5. Links become components by alternating large-star and small-star steps.
@@ -60,12 +62,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int):
 
 def minima(s: np.ndarray) -> np.ndarray:
     out = np.full(MINIMA, np.uint64(2**64 - 1))
-    for i in range(0, len(s), 2048):
-        x = s[i:i + 2048]
-        for j in range(MINIMA):
-            v = (x * _A[j] + _B[j]).min()
-            if v < out[j]:
-                out[j] = v
+    for i in range(0, len(s), 256):
+        np.minimum(out, (s[None, i:i + 256] * _A[:, None] + _B[:, None]).min(1), out=out)
     return out
 
 
@@ -116,7 +114,12 @@ def _possible(percent: int) -> Column:
     return sizes & (likeness("sa", "sb") >= t - margin)
 
 
-def _confirm(k: int, percent: int):
+COMPARED = "a long, b long, linked boolean, beyond long, bits array<long>"
+
+
+def _compare(k: int, percent: int):
+    """For each pair whether the full sets are linked, how many shingles of b are not of a, and which of a's (in order of hash) are of b."""
+
     def sets(column):
         for _, _, data, off in X.chunks(column):
             yield from shingle_sets(data, off, k)
@@ -124,22 +127,31 @@ def _confirm(k: int, percent: int):
     def run(batches):
         for batch in batches:
             column = lambda n: batch.column(batch.schema.get_field_index(n))
-            ok = []
+            linked, beyond, bits = [], [], []
             for x, y in zip(sets(column("ta")), sets(column("tb")), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([column("a"), column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                shared = np.isin(x, y, assume_unique=True)
+                both = int(shared.sum())
+                linked.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
+                beyond.append(len(y) - both)
+                bits.append(np.packbits(np.pad(shared, (0, -len(x) % 64)), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([column("a"), column("b"), pa.array(linked, pa.bool_()), pa.array(beyond, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["a", "b", "linked", "beyond", "bits"])
 
     return run
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are alike enough."""
+def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) compared on their full sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     texts = only_ids(docs.select("doc_id", "text"), "doc_id", ids, "id")
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(k, percent), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_compare(k, percent), COMPARED)
+
+
+def _beyond_reach(percent: int) -> Column:
+    """Whether two members that were both compared with one pivot share too few of its shingles to be linked, whatever they share beside it."""
+    most = F.expr("aggregate(zip_with(ta, tb, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)") + F.least("ea", "eb")
+    return F.coalesce(most * 100 < (F.col("na") + F.col("nb") - most) * percent, F.lit(False))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,20 +189,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     side = lambda x: sketch.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x))
     pairs = members.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(_possible(percent)).select("a", "b").distinct())
-    links = cut(confirm(docs, pairs, shingle, percent).distinct())
+    compared = cut(compare(docs, pairs, shingle, percent))
+    links = compared.where("linked").select("a", "b").distinct()
 
     # A part: what one or two links already join. Buckets of one part are done.
     up = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("p"))
     part = up.join(up.select(F.col("id").alias("p"), F.col("p").alias("pp")), "p", "left").select("id", F.coalesce("pp", "p").alias("part"))
-    parted = members.select("key", "id").join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    parted = members.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
     parted = cut(parted)
     split = parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    left = cut(parted.join(split, "key").join(sketch, "id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    one = left.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("blk").alias("x"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("y"))
-    two = left.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.explode(F.expr("sequence(0, blk)")).alias("x"), F.col("blk").alias("y"))
-    more = one.join(two, ["key", "x", "y"]).where((F.col("pa") != F.col("pb")) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))) & _possible(percent))
+    seen = compared.groupBy(F.col("a").alias("first"), F.col("b").alias("id")).agg(F.max("beyond").alias("e"), F.first("bits").alias("t"), F.count("*").alias("texts")).where("texts = 1").drop("texts")
+    left = parted.join(split, "key").join(sketch, "id").join(seen, ["first", "id"], "left")
+    left = cut(left.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    one = left.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("e").alias("ea"), F.col("t").alias("ta"), F.col("blk").alias("x"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("y"))
+    two = left.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("e").alias("eb"), F.col("t").alias("tb"), F.explode(F.expr("sequence(0, blk)")).alias("x"), F.col("blk").alias("y"))
+    more = one.join(two, ["key", "x", "y"]).where((F.col("pa") != F.col("pb")) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))) & _possible(percent) & ~_beyond_reach(percent))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(cut(confirm(docs, cut(more), shingle, percent).distinct()))
+    links = links.union(compare(docs, cut(more), shingle, percent).where("linked").select("a", "b"))
 
     found = components(links)
     out = rows_.select("doc_id", "n_shingles", "node").join(found.withColumnRenamed("id", "node").withColumnRenamed("component_id", "c"), "node", "left")
