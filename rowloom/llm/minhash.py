@@ -4,7 +4,8 @@
    4 bits of 128 minima packed into 8 longs, and a key for each band of minima.
 2. Documents of equal sets are one node; its smallest id stands for it.
 3. Nodes that share a band key are candidates: first each against the smallest of its
-   bucket, then, in the few buckets that still hold unlinked parts, the parts against each
+   bucket; then, in buckets with many pairs between unlinked parts, each member of another part
+   against one more, picked by hash, as long as that links any; then, in the buckets left, the parts against each
    other in blocks. A pair goes on if sizes allow the threshold and the collision-corrected
    likeness from the bit counts is within six standard errors of it. Of the parts a pair
    also goes only if the shingles of their pivot that both have, and all that the one with
@@ -24,6 +25,8 @@ columns are ignored.
 """
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -148,6 +151,10 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(_compare(k, percent), COMPARED)
 
 
+def _first_shared() -> Column:
+    return F.expr("filter(zip_with(ba, bb, (x, y) -> if(x = y, x, null)), x -> x is not null)[0]")
+
+
 def _beyond_reach(percent: int) -> Column:
     """Whether two members that were both compared with one pivot share too few of its shingles to be linked, whatever they share beside it."""
     most = F.expr("aggregate(zip_with(ta, tb, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)") + F.least("ea", "eb")
@@ -180,6 +187,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     a = cut(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n_shingles long, hi long, lo long, sig array<long>, bands array<long>"))
     same = ["hi", "lo", "n_shingles"]
     stand = a.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    stand = cut(stand)
     rows_ = cut(a.join(stand, same, "left").withColumn("node", F.coalesce("rep", "doc_id")))
     nodes = rows_.where("n_shingles > 0 and doc_id = node").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
@@ -192,19 +200,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     compared = cut(compare(docs, pairs, shingle, percent))
     links = compared.where("linked").select("a", "b").distinct()
 
-    # A part: what one or two links already join. Buckets of one part are done.
-    up = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("p"))
-    part = up.join(up.select(F.col("id").alias("p"), F.col("p").alias("pp")), "p", "left").select("id", F.coalesce("pp", "p").alias("part"))
-    parted = members.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    parted = cut(parted)
-    split = parted.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    # A part: what links already join. Buckets of one part are done. While a bucket's pairs between
+    # parts far outnumber its members, each of these meets one more of them, another in each bucket and round.
+    tried = pairs
+    for turn in itertools.count():
+        part = components(links).select("id", F.col("component_id").alias("part"))
+        parted = cut(members.join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
+        sizes = parted.groupBy("key", "part").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)), F.col("id").alias("i"))).alias("h"))
+        split = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("n"), F.min(F.struct("h", "part")).alias("p")).where("n > 1")
+        split = cut(split.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "m", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open"), F.col("p.h.i").alias("pivot"), F.col("p.part").alias("its")))
+        wide = split.where(F.col("open") > 8 * F.col("m")).select("key", "pivot", "its")
+        if wide.isEmpty():
+            break
+        met = parted.join(wide, "key").where("part != its").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        met = cut(met.distinct()).join(tried, ["a", "b"], "left_anti")
+        met = cut(met.join(side("b"), "b").join(side("a"), "a").where(_possible(percent)).select("a", "b"))
+        more = cut(compare(docs, met, shingle, percent).where("linked").select("a", "b").distinct())
+        if more.isEmpty():
+            break
+        tried, links = tried.union(met), cut(links.union(more))
     seen = compared.groupBy(F.col("a").alias("first"), F.col("b").alias("id")).agg(F.max("beyond").alias("e"), F.first("bits").alias("t"), F.count("*").alias("texts")).where("texts = 1").drop("texts")
-    left = parted.join(split, "key").join(sketch, "id").join(seen, ["first", "id"], "left")
+    left = cut(parted.join(split.select("key", "blocks"), "key")).join(nodes, "id").join(seen, ["first", "id"], "left")
     left = cut(left.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    one = left.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("e").alias("ea"), F.col("t").alias("ta"), F.col("blk").alias("x"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("y"))
-    two = left.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("e").alias("eb"), F.col("t").alias("tb"), F.explode(F.expr("sequence(0, blk)")).alias("x"), F.col("blk").alias("y"))
-    more = one.join(two, ["key", "x", "y"]).where((F.col("pa") != F.col("pb")) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))) & _possible(percent) & ~_beyond_reach(percent))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # a pair that shares several bands is made by the first of them
+    one = left.select("key", F.col("bands").alias("ba"), F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("e").alias("ea"), F.col("t").alias("ta"), F.col("blk").alias("x"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("y"))
+    two = left.select("key", F.col("bands").alias("bb"), F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("e").alias("eb"), F.col("t").alias("tb"), F.explode(F.expr("sequence(0, blk)")).alias("x"), F.col("blk").alias("y"))
+    more = one.join(two, ["key", "x", "y"]).where((F.col("pa") != F.col("pb")) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))) & (F.col("key") == _first_shared()) & _possible(percent) & ~_beyond_reach(percent))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.union(compare(docs, cut(more), shingle, percent).where("linked").select("a", "b"))
 
     found = components(links)
