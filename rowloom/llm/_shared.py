@@ -46,6 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: Bitmaps of the id filter: 256 of 4 KB, so it takes 1 MB whatever the input.
 BITMAPS, BITS_EACH = 256, 32768
 
@@ -62,15 +74,17 @@ def mark_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str, name: str) ->
     scan's own stage, so texts that nothing asks for need no shuffle. When ids are many
     they let more through and stay right; the caller's join is what decides.
     """
+    b, m = free(df, "_b", "_m")
     number, bit = _place(id_col)
-    maps = ids.where(F.col(id_col).isNotNull()).select(number.alias("_b"), bit.alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    maps = ids.where(F.col(id_col).isNotNull()).select(number.alias(b), bit.alias("_p")).groupBy(b).agg(F.bitmap_construct_agg("_p").alias(m))
     number, bit = _place(key)
-    byte = F.conv(F.hex(F.substring(F.col("_m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(m), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     power = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
-    out = df.withColumn("_b", number).join(F.broadcast(maps), "_b", "left")
+    out = df.withColumn(b, number).join(F.broadcast(maps), b, "left")
     return out.select(*df.columns, F.coalesce(byte.bitwiseAND(power) != 0, F.lit(False)).alias(name))
 
 
 def only_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose key may be among ids."""
-    return mark_ids(df, key, ids, id_col, "_maybe").where("_maybe").drop("_maybe")
+    (maybe,) = free(df, "_maybe")
+    return mark_ids(df, key, ids, id_col, maybe).where(F.col(maybe)).drop(maybe)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._shared import free
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOW = {i: i + 32 for i in range(65, 91)}
@@ -148,7 +149,7 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFram
     items = items.mapInArrow(_positions(width, True), "h long, key string, i long, n long, words string").select("h", "n", "key", "words").distinct()
     found = docs.select("row", "text").distinct().mapInArrow(_positions(width, False), "h long, key long, i long, n long, a long, b long").withColumnRenamed("key", "row")
     found = found.join(items, ["h", "n"]).join(docs.select("row", F.encode("text", "UTF-8").alias("raw")).dropDuplicates(["row"]), "row")
-    lower = F.translate(F.decode(F.expr("substring(raw, int(a + 1), int(b - a))"), F.lit("UTF-8")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.translate(F.decode(F.expr("substring(raw, int(a + 1), int(b - a))"), "UTF-8"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = found.where(F.regexp_replace(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), "^ | $", "") == F.col("words"))
     per = found.groupBy("row").agg(
         F.sort_array(F.collect_set("key")).alias("items"),
@@ -174,9 +175,16 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFram
 def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, drop_from: int = 2, max_broadcast_windows: int = 2_000_000) -> DataFrame:
     """docs with all its columns: rows that `drop_from` items or more are found in go; from the others the spans hit are taken out of the text, each for one space, and n_chars follows."""
     if _too_many(benchmark, max_broadcast_windows):
-        found = _scan_by_join(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), width).where("n_items > 0").select("doc_id", "spans", "n_items").dropDuplicates(["doc_id"])
-        text = F.expr("aggregate(reverse(spans), encode(text, 'UTF-8'), (s, x) -> concat(substring(s, 1, x.start), encode(' ', 'UTF-8'), substring(s, x.end + 1)))")
-        out = docs.join(found, "doc_id", "left").where(F.coalesce("n_items", F.lit(0)) < drop_from).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.decode(text, F.lit("UTF-8"))))
+        given, n = free(docs, "spans", "n_items")
+        # rows of one id with several texts are told apart by their text
+        row = F.xxhash64("doc_id", "text")
+        (key,) = free(docs, "row")
+        rows = docs.withColumn(key, row)
+        texts = docs.select("doc_id", "text").distinct().withColumn("_row", row)
+        found = _scan_by_join(texts.select(F.col("_row").alias("doc_id"), "text"), benchmark.select("item_id", "text"), width).where("n_items > 0")
+        found = found.select(F.col("doc_id").alias(key), F.col("spans").alias(given), F.col("n_items").alias(n)).dropDuplicates([key])
+        text = F.expr(f"aggregate(reverse(`{given}`), encode(text, 'UTF-8'), (s, x) -> concat(substring(s, 1, x.start), encode(' ', 'UTF-8'), substring(s, x.end + 1)))")
+        out = rows.join(found, key, "left").where(F.coalesce(n, F.lit(0)) < drop_from).withColumn("text", F.when(F.col(given).isNull(), F.col("text")).otherwise(F.decode(text, "UTF-8")))
         return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
     windows = Windows(((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()), width)
     inner, schema = _scan(windows), docs.schema

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import cut, mark_ids, only_ids
+from ._shared import cut, free, mark_ids, only_ids
 
 MINIMA, BITS = 128, 4
 _rng = np.random.default_rng(73)
@@ -240,9 +240,10 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFra
 
     Only rows whose id a bitmap of fixed size names are shuffled. Rows without id or words stay.
     """
+    id_, maybe = free(docs, "id_", "maybe_")
     found = cut(near_duplicates(docs, shingle=shingle, percent=percent).select("doc_id", "kept").where("doc_id is not null"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("id_")).distinct()
-    twice = found.groupBy(F.col("doc_id").alias("id_")).count().where("count > 1").select("id_")
-    marked = mark_ids(docs, "doc_id", gone.union(twice), "id_", "maybe_")
-    some = marked.where("maybe_").join(gone, F.col("doc_id").cast("long") == F.col("id_"), "left_anti").dropDuplicates(["doc_id", "text"])
-    return some.select(docs.columns).union(marked.where("not maybe_").select(docs.columns))
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    twice = found.groupBy(F.col("doc_id").alias(id_)).count().where("count > 1").select(id_)
+    marked = mark_ids(docs, "doc_id", gone.union(twice), id_, maybe)
+    some = marked.where(F.col(maybe)).join(gone, F.col("doc_id").cast("long") == F.col(id_), "left_anti").dropDuplicates(["doc_id", "text"])
+    return some.select(docs.columns).union(marked.where(~F.col(maybe)).select(docs.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._shared import keep, mark_ids, only_ids
+from ._shared import free, keep, mark_ids, only_ids
 from .suffixes import suffix_array
 
 GRAM = 50
@@ -348,13 +348,14 @@ def _kept(raw: bytes, runs) -> bytes:
 
 def _with_spans(docs: DataFrame, length: int):
     """docs that may have spans with them, and the rest with none: only the former are shuffled."""
-    found = keep(spans(docs, length), "spans")
+    doc, maybe, given = free(docs, "doc", "maybe", "spans")
+    found = keep(spans(docs, length), "spans").withColumnRenamed("doc", doc)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL)))
-    grouped = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans_"))
-    flagged = mark_ids(docs.withColumn("doc_", key), "doc_", found, "doc", "maybe_")
-    some = flagged.where("maybe_").join(grouped.withColumnRenamed("doc", "doc_"), "doc_", "left")
-    none = flagged.where("not maybe_").withColumn("spans_", F.lit(None).cast("array<struct<a:long,b:long>>"))
-    columns = [*docs.columns, "spans_"]
+    grouped = found.groupBy(doc).agg(F.collect_list(F.struct("a", "b")).alias(given))
+    flagged = mark_ids(docs.withColumn(doc, key), doc, found, doc, maybe)
+    some = flagged.where(F.col(maybe)).join(grouped, doc, "left")
+    none = flagged.where(~F.col(maybe)).withColumn(given, F.lit(None).cast("array<struct<a:long,b:long>>"))
+    columns = [*docs.columns, given]
     return some.select(columns).union(none.select(columns))
 
 
@@ -378,7 +379,6 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def remove(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs, all columns, with the repeats taken out of text (whole characters: one that is covered in part stays) and n_chars to match."""
-    docs = docs.drop("spans_", "doc_", "maybe_")
     rows, schema = _with_spans(docs, length), docs.schema
 
     def run(batches):
