@@ -1,6 +1,7 @@
 """Words of many texts at once: spans and 64-bit hashes over the UTF-8 bytes of Arrow columns."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -8,8 +9,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Freed arrays of 1 MB and more go back to the system at once: Python workers live on between
+# stages, and what they held on to would count against the executor in the next one.
+try:
+    for _key, _value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+        ctypes.CDLL(None).mallopt(_key, _value)
+except (AttributeError, OSError):  # another C library than glibc
+    pass
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that are hashed in one go; a longer document makes a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def byte_class(separators) -> np.ndarray:

@@ -24,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces that a worker's table holds before it starts anew.
-TABLE = 400_000
+TABLE = 150_000
 LEAF = 24
 
 
@@ -205,7 +204,22 @@ def detokenize(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with tokens, n_tokens and `exact`: whether they decode to the very text."""
-    out = tokenize(docs, path, pattern)
-    back = detokenize(out.withColumnRenamed("text", "given"), path, pattern)
-    return back.select(*[F.col("given").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("tokens", "n_tokens")], "tokens", "n_tokens", (F.col("text") == F.coalesce("given", F.lit(""))).alias("exact"))
+    """docs with tokens, n_tokens and `exact`: whether they decode to the very text. One pass, so a codec is held once for each task."""
+    vocabulary = _read(path)
+    docs = docs.drop("tokens", "n_tokens", "exact")
+    schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])
+
+    def run(batches):
+        bpe = loaded(vocabulary, pattern)
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                at, off, exact = [], [0], []
+                for x in batch.column(batch.schema.get_field_index("text")):
+                    text = x.as_py() or ""
+                    at.append(bpe.encode(text).astype(np.int32))
+                    off.append(off[-1] + len(at[-1]))
+                    exact.append(bpe.decode(at[-1].tolist()) == text.encode())
+                tokens = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(at), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, tokens, pa.array(np.diff(off), pa.int64()), pa.array(exact)], names=[*batch.schema.names, "tokens", "n_tokens", "exact"])
+
+    return docs.mapInArrow(run, schema)
