@@ -99,19 +99,16 @@ def learn_lexicon(texts: list[str], y: list[int], least: int = 4, bar: float = 2
         row += len(off) - 1
     out = []
     for which in (0, 1):
-        got = {}
-        for k in (0, 1):
-            v, n = np.unique(np.concatenate(seen[which][k]) if seen[which][k] else np.empty(0, np.uint64), return_counts=True)
-            got[k] = dict(zip(v.tolist(), n.tolist(), strict=True))
-        found = {}
-        for g, n in got[1].items():
-            m = got[0].get(g, 0)
-            odds = float(np.log((n + 0.5) / (pos + 1)) - np.log((m + 0.5) / (neg + 1)))
-            share = (n + m) / (pos + neg)
-            z = (n / pos - m / neg) / max(1e-9, (share * (1 - share) * (1 / pos + 1 / neg)) ** 0.5)
-            if n >= least and odds > bar - 0.5 * which and z > 6:
-                found[g] = odds
-        out.append(found)
+        (g, n), (other, m) = (np.unique(np.concatenate(seen[which][k]) if seen[which][k] else np.empty(0, np.uint64), return_counts=True) for k in (1, 0))
+        g, n = g[n >= least], n[n >= least].astype(float)
+        at = np.minimum(np.searchsorted(other, g), max(0, len(other) - 1))
+        m = np.where(other[at] == g, m[at], 0).astype(float) if len(other) else np.zeros(len(g))
+        odds = np.log((n + 0.5) / (pos + 1)) - np.log((m + 0.5) / (neg + 1))
+        share = (n + m) / (pos + neg)
+        z = (n / pos - m / neg) / np.maximum(1e-9, np.sqrt(share * (1 - share) * (1 / pos + 1 / neg)))
+        ok = (odds > bar - 0.5 * which) & (z > 6)
+        out.append(dict(zip(g[ok].tolist(), odds[ok].tolist(), strict=True)))
+        seen[which] = []
     return Lexicon(*out)
 
 
