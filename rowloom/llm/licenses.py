@@ -1,14 +1,17 @@
-"""Licence scans: lines and whole texts against licence templates by Dice over word bigrams.
-
-Text is normalised to lower-case words of ASCII letters and digits. A unit (a line, or the
-whole text) is compared with a template only if their sizes allow the threshold:
-Dice of sets of sizes m and n is at most 2 * min / (m + n). Of the templates left, only those
-that share a bigram are measured, through an index from bigram to templates. The templates
-are few and part of the code or a parameter; documents are scanned once without a shuffle.
+"""Licence scans: lines, whole texts and runs of words against licence templates by Dice over word bigrams.
+
+Text is normalised to lower-case words of ASCII letters and digits. Units are all runs of
+consecutive words, over line ends too, lines and the whole text among them, so a notice wrapped
+over lines or inside a longer line is found. A template that shares fewer bigrams with the document
+than the threshold needs is left out at once; most documents end there. A unit is compared only
+if the sizes allow the threshold: Dice of sets of sizes m and n is at most 2 * min / (m + n).
+Of the runs, only those need a look that begin and end with a bigram of the template and do not
+hold their first again: others have a shorter run that is as good. That bounds the steps by the
+template's bigrams times the words. The templates are part of the code (TEMPLATES, and whole
+texts in license_texts.py) or a parameter; documents are scanned once without a shuffle.
 
 Defined cases: null or empty text has no match; a unit of fewer than two words has no
-bigrams and matches nothing; equal values go to the template first in order of name, then to the earlier unit, lines
-before the whole text. Repeated rows get a row each; other columns are ignored.
+bigrams and matches nothing; a template's best run inside that of one at least twice its size is part of it and left out; equal values go to the template first in order of name. n_lines counts lines alone. Repeated rows get a row each; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -17,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEXTS
+
 WORD = re.compile(r"[a-z0-9]+")
 _LOW = {i: i + 32 for i in range(65, 91)}
 
@@ -62,49 +67,70 @@ class Matcher:
         for i, s in enumerate(self.sets):
             for b in s:
                 self.holding.setdefault(b, []).append(i)
-        # Dice >= t needs t/(2-t) * n <= m <= (2-t)/t * n
-        sizes = [len(s) for s in self.sets if s] or [0]
-        self.low, self.high = least / (2 - least) * min(sizes), (2 - least) / least * max(sizes)
-        self.first = {b[0] for b in self.holding}
-
-    def best(self, text: str) -> tuple[float, int] | None:
-        """(Dice, template) of the best template that reaches the threshold."""
-        words = WORD.findall(text.translate(_LOW))
-        if len(words) - 1 < self.low or self.first.isdisjoint(words):
-            return None
-        mine = set(zip(words, words[1:]))
-        m = len(mine)
-        if not self.low <= m <= self.high:
-            return None
+        # the fewest shared bigrams that can reach the threshold: all of the unit's are shared
+        self.need = [next((k for k in range(1, len(s) + 1) if 2 * k / (k + len(s)) >= least), len(s) + 1) for s in self.sets]
+
+    def near(self, mine: set) -> dict[int, int]:
+        """The templates that share enough of these bigrams, and how many."""
         shared: dict[int, int] = {}
-        for b in mine & self.holding.keys():
+        for b in self.holding.keys() & mine:
             for i in self.holding[b]:
                 shared[i] = shared.get(i, 0) + 1
-        found = None
-        for i, both in sorted(shared.items()):
-            n = len(self.sets[i])
-            if 2 * min(m, n) >= self.least * (m + n):
-                dice = 2 * both / (m + n)
-                if dice >= self.least and (found is None or dice > found[0]):
-                    found = dice, i
-        return found
+        return {i: both for i, both in sorted(shared.items()) if both >= self.need[i]}
+
+    def matches(self, pairs: list[tuple]) -> bool:
+        """Whether a unit as a whole reaches the threshold for some template."""
+        mine = set(pairs)
+        return any(2 * both / (len(mine) + len(self.sets[i])) >= self.least for i, both in self.near(mine).items())
+
+    def run(self, i: int, pairs: list[tuple]) -> tuple[float, int, int, int] | None:
+        """(Dice, template, start, end) of the best run of consecutive bigrams for template i, if it reaches the threshold."""
+        mine, best, least, found = self.sets[i], 0.0, self.least, None
+        n, after, held = len(mine), {}, []
+        for p in range(len(pairs) - 1, -1, -1):
+            if pairs[p] in mine:
+                end = after.get(pairs[p], len(pairs))
+                after[pairs[p]] = p
+                held.append((p, end, len(after)))
+        for p, end, rest in reversed(held):
+            # bigrams of the template from here on bound all later runs
+            if best == 1 or 2 * rest / (rest + n) < max(best, least):
+                break
+            seen, both, most = set(), 0, (2 - max(best, least)) / max(best, least) * n + 1e-6
+            for q in range(p, end):
+                b = pairs[q]
+                if b in seen:
+                    continue
+                seen.add(b)
+                if len(seen) > most:
+                    break
+                if b in mine:
+                    both += 1
+                    dice = 2 * both / (len(seen) + n)
+                    if dice > best:
+                        best, found = dice, (dice, i, p, q + 1)
+        return found if best >= least else None
 
     def scan(self, text: str | None):
-        lines = (text or "").split("\n")
-        top, n = None, 0
-        for line in lines:
-            if found := self.best(line):
-                n += 1
-                if top is None or (-found[0], found[1]) < (-top[0], top[1]):
-                    top = found
-        if len(lines) > 1 and (found := self.best(text)) and (top is None or (-found[0], found[1]) < (-top[0], top[1])):
-            top = found
-        return (self.license[top[1]], self.names[top[1]], top[0], n) if top else (None, None, None, 0)
+        lines = [WORD.findall(x) for x in (text or "").translate(_LOW).split("\n")]
+        words = [w for line in lines for w in line]
+        pairs = list(zip(words, words[1:]))
+        near = self.near(set(pairs))
+        if not near:
+            return None, None, None, 0
+        n = sum(self.matches(list(zip(line, line[1:]))) for line in lines if len(line) > 1)
+        runs = [x for i in near if (x := self.run(i, pairs))]
+        size = lambda x: len(self.sets[x[1]])
+        runs = [x for x in runs if not any(y[2] <= x[2] and x[3] <= y[3] and 2 * size(x) <= size(y) for y in runs)]
+        if not runs:
+            return None, None, None, n
+        dice, i, *_ = min(runs, key=lambda x: (-x[0], x[1]))
+        return self.license[i], self.names[i], dice, n
 
 
 def scan(docs: DataFrame, *, templates: dict[str, tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """A row for each row of docs(doc_id, text): the best licence, its template and likeness, and the number of lines that match one."""
-    matcher = Matcher(TEMPLATES if templates is None else templates, least)
+    matcher = Matcher(TEMPLATES | TEXTS if templates is None else templates, least)
 
     def run(batches):
         for batch in batches:
@@ -117,7 +143,7 @@ def scan(docs: DataFrame, *, templates: dict[str, tuple[str, str]] | None = None
 
 
 def sql(least: float = 0.8) -> str:
-    """The same over `documents` for DuckDB, without pruning."""
+    """Lines and whole texts against TEMPLATES over `documents` for DuckDB, without pruning; runs of words and TEXTS are not in it."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({q(n)}, {q(a)}, {q(t)})" for n, (a, t) in sorted(TEMPLATES.items()))
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

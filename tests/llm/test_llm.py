@@ -3,6 +3,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,41 @@ def test_license_whole_text_over_lines(spark):
     assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: None, 3: None}
 
 
+def wrapped(text, width=70, mark="# "):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_license_wrapped_inside_a_long_document(spark):
+    prose = "\n".join(" ".join(f"w{(i * 7 + j) % 211} of the" for j in range(8)) for i in range(200))
+    headers = {"Apache-2.0": "apache-2.0-header", "MIT": "mit-grant", "ISC": "isc-grant", "GPL-3.0-or-later": "gpl-3.0-header"}
+    docs = [(x, f"{prose}\n{wrapped(licenses.TEMPLATES[name][1])}\n{prose}", name) for x, name in headers.items()]
+    docs += [(licenses.TEXTS[name][0], f"{prose}\n{wrapped(licenses.TEXTS[name][1])}\n{prose}", name) for name in ("mit-text", "isc-text", "bsd-3-clause-text", "apache-2.0-text", "gpl-2.0-text")]
+    docs += [("MIT", f"{prose} and then this here is all Released under the MIT License. {prose}", "mit-notice"), ("MIT", "MIT License\n\nCopyright (c) 2020 A\n\n" + wrapped(licenses.TEXTS["mit-text"][1], mark=""), "mit-text"), (None, prose, None)]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(docs)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.license, r.template) for r in got] == [(x, name) for x, _, name in docs]
+    assert all(r.dice == 1 for r in got if r.license)
+
+
+def test_license_runs_agree_with_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        words = "abcd"[: r.randint(2, 4)]
+        texts_ = {str(i): ("L", " ".join(r.choice(words) for _ in range(r.randint(2, 9)))) for i in range(3)}
+        w = [r.choice(words + "xy") for _ in range(r.randint(0, 30))]
+        sizes, best = [len(licenses.bigrams(t)) for _, t in texts_.values()], None
+        if max(sizes) >= 2 * min(sizes):
+            continue
+        for a in range(len(w)):
+            for b in range(a + 2, len(w) + 1):
+                mine = licenses.bigrams(" ".join(w[a:b]))
+                for name, (_, t) in texts_.items():
+                    d = 2 * len(mine & licenses.bigrams(t)) / (len(mine) + len(licenses.bigrams(t)))
+                    if d >= 0.8 and (best is None or (-d, name) < best):
+                        best = -d, name
+        got = licenses.Matcher(texts_, 0.8).scan(" ".join(w))
+        assert (got[2], got[1]) == ((-best[0], best[1]) if best else (None, None))
+
+
 def test_decontamination_by_join_agrees_with_broadcast(spark):
     values, items = texts(80, 7), [(1, "w0 " * 3), (2, None), (None, "x y")]
     long = [t for t in values if t and len(t.split()) > 20]
