@@ -71,7 +71,7 @@ class Run:
         self.df = rows if rows is not None else spark.range(0, self.count, 1, partitions).withColumnRenamed("id", ID)
         self.info: dict[str, Info] = {}
         self.pools: dict[str, DataFrame] = {}
-        self.links: dict[str, tuple[str, list]] = {}
+        self.links: dict[str, tuple[str, list | None, int]] = {}
         self.used = 0
         self._build()
 
@@ -558,13 +558,21 @@ class Run:
             # the first column on a key draws the row; the others read the same one
             df = files.csv(self.spark, path, a.get("delimiter", ","), a.get("header", "true") == "true")
             if a["row"] not in self.links:
-                self.links[a["row"]] = (a["src"], [r.asDict() for r in df.limit(files.LIMIT).collect()])
-                rows = self.links[a["row"]][1]
-            src, rows = self.links[a["row"]]
+                rows = [r.asDict() for r in df.limit(files.LIMIT + 1).collect()]
+                self.links[a["row"]] = (a["src"], rows if len(rows) <= files.LIMIT else None, len(rows) if len(rows) <= files.LIMIT else df.count())
+            src, rows, size = self.links[a["row"]]
             if src != a["src"]:
                 raise ConfigError("E051", f"the row {a['row']} is of {src}, not of {a['src']}")
-            place = F.least(F.floor(self.u("row:" + a["row"], row) * len(rows)), F.lit(len(rows) - 1))
-            return F.element_at(F.array(*[F.lit(r[a["column"]]) for r in rows]), (place + 1).cast("int")), {}
+            place = F.least(F.floor(self.u("row:" + a["row"], row) * size), F.lit(size - 1))
+            if rows is not None:
+                return F.element_at(F.array(*[F.lit(r[a["column"]]) for r in rows]), (place + 1).cast("int")), {}
+            # too many for a plan: a join on the row's number
+            if stream.endswith("#e"):
+                raise ConfigError("E053", f"a list can't draw rows of {src}, which has more than {files.LIMIT}")
+            at, value, number = self.fresh(), self.fresh(), self.fresh()
+            right = files.numbered(df, number).select(number, F.col(f"`{a['column']}`").alias(value))
+            self.df = self.df.withColumn(at, place).join(right, F.col(at) == F.col(number), "left").drop(at, number)
+            return F.col(value), {}
         pairs = files.csv_column(self.spark, path, a["column"], a.get("weight"), a.get("delimiter", ","), a.get("header", "true") == "true") if "column" in a else [(v, 1.0) for v in files.values(self.spark, path)]
         if a.get("read") == "quantile":
             numbers = [float(v) for v, _ in pairs]

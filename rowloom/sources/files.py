@@ -41,6 +41,17 @@ def csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = Tru
     return spark.read.csv(path, sep=delimiter, header=header, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, mode="FAILFAST")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with each row's number from 0, in the order it is read."""
+    part = F.shiftright(F.monotonically_increasing_id(), 33)
+    sizes, first, total = dict(df.groupBy(part.alias("p")).count().collect()), {}, 0
+    for p in sorted(sizes):
+        first[p] = total
+        total += sizes[p]
+    starts = F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair])
+    return df.withColumn(name, F.element_at(starts, part) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def csv_column(spark: SparkSession, path: str, column: str, weight: str | None = None, delimiter: str = ",", header: bool = True) -> list[tuple[str, float]]:
     """(value, weight) of a column by name or number from 1; a blank cell is refused, a weight of zero leaves out."""
     df = csv(spark, path, delimiter, header)

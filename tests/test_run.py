@@ -3,6 +3,7 @@ import pytest
 
 from rowloom.plans.build import Run
 from rowloom.plans.config import ConfigError
+from rowloom.sources import files
 
 
 def env(body, count=20, extra=""):
@@ -74,6 +75,20 @@ def test_lists_pools_uniq(spark):
     assert len({(r["Where.City"], r["Where.Zip"]) for r in got}) <= 5
 
 
+LINKED = '<gen name="A" type="file" src="{0}" column="a" row="i"{1}/><gen name="B" type="file" src="{0}" column="b" row="i"/>'
+
+
+@pytest.mark.parametrize("limit,parts", [(5, 1), (5, 3), (100, 1)])
+def test_linked_rows_beyond_the_limit(spark, tmp_path, monkeypatch, limit, parts):
+    monkeypatch.setattr(files, "LIMIT", limit)
+    (tmp_path / "c").mkdir()
+    for k in range(parts):
+        (tmp_path / "c" / f"{k}.csv").write_text("a,b\n" + "".join(f"x{i},y{i}\n" for i in range(k, 30, parts)))
+    got = rows(spark, seq("L", LINKED.format(tmp_path / "c", "")), 600)
+    assert len(got) == 600 and all(r["L.A"][1:] == r["L.B"][1:] for r in got)
+    assert {r["L.A"] for r in got} == {f"x{i}" for i in range(30)}
+
+
 @pytest.mark.parametrize("body,code", [
     (seq("A", '<gen type="nothing"/>'), "E012"), (seq("_A", '<gen type="increment"/>'), "E014"), (seq("A", '<gen type="increment"/>') * 2, "E015"), (seq("A", '<gen type="increment"/>', ' parent="B.x"'), "E016"),
     (seq("A", '<gen type="number" value="1..9" missing="2"/>'), "E030"), (seq("A", '<gen type="number" value="1..3"/>', ' uniq="true"'), "E080"),
