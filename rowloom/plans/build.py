@@ -72,6 +72,7 @@ class Run:
         self.info: dict[str, Info] = {}
         self.pools: dict[str, DataFrame] = {}
         self.links: dict[str, tuple[str, list | None, int]] = {}
+        self.shared: dict[str, tuple[str, int, str]] = {}
         self.used = 0
         self._build()
 
@@ -557,13 +558,19 @@ class Run:
         if "row" in a:
             # the first column on a key draws the row; the others read the same one
             df = files.csv(self.spark, path, a.get("delimiter", ","), a.get("header", "true") == "true")
-            if a["row"] not in self.links:
+            first = a["row"] not in self.links
+            if first:
                 rows = [r.asDict() for r in df.limit(files.LIMIT + 1).collect()]
                 self.links[a["row"]] = (a["src"], rows if len(rows) <= files.LIMIT else None, len(rows) if len(rows) <= files.LIMIT else df.count())
             src, rows, size = self.links[a["row"]]
             if src != a["src"]:
                 raise ConfigError("E051", f"the row {a['row']} is of {src}, not of {a['src']}")
-            place = F.least(F.floor(self.u("row:" + a["row"], row) * size), F.lit(size - 1))
+            if "weight" in a and a["row"] not in self.shared:
+                self._weighted_row(a, df, stream, domain, rank, n, first)
+            weight, many, shared = self.shared.get(a["row"], (None, n, None))
+            if a.get("weight", weight) != weight or many != n:
+                raise ConfigError("E051", f"the row {a['row']} is drawn by {weight} over {many} rows; another weight or number of rows can't follow it")
+            place = F.col(shared) if shared else F.least(F.floor(self.u("row:" + a["row"], row) * size), F.lit(size - 1))
             if rows is not None:
                 return F.element_at(F.array(*[F.lit(r[a["column"]]) for r in rows]), (place + 1).cast("int")), {}
             # too many for a plan: a join on the row's number
@@ -581,6 +588,38 @@ class Run:
             return self._written(shapes.quantile(u, numbers), d)
         return self._choice(pairs, a, stream, row, rank, n, "weight" not in a)
 
+    def _weighted_row(self, a, df, stream, domain, rank, n, first: bool):
+        """The place of a linked row in exact shares of a weight column, kept as a column that all on the link read."""
+        if not first:
+            raise ConfigError("E051", f"the row {a['row']} is drawn already; its first column must have the weight")
+        if stream.endswith("#e"):
+            raise ConfigError("E053", "a list can't draw weighted rows")
+        if a["weight"] == a["column"]:
+            raise ConfigError("E051", f"the weight {a['weight']} is the column of values itself")
+        self._whole("an exact share")
+        number, stream = self.fresh(), "row:" + a["row"]
+        cells = [F.col(f"`{a[k]}`").cast("string") for k in ("column", "weight")]
+        table = files.numbered(df, number).select(number, *[c.alias(k) for c, k in zip(cells, "vw")]).where("trim(v) != ''").orderBy(number).collect()
+        try:
+            weights = [float(r.w) for r in table]
+            if not all(0 <= w < float("inf") for w in weights):
+                raise ValueError
+        except (TypeError, ValueError) as e:
+            raise ConfigError("E051", f"the weights {a['weight']} of {a['src']} must be numbers of 0 or more") from e
+        if not any(weights):
+            raise ConfigError("E051", f"no row of {a['src']} has a weight above 0")
+        parts, ends = apportion.counts(n, weights, self.seed, stream), 0
+        runs = []
+        for r, size in zip(table, parts):
+            if size:
+                runs.append((ends, ends + size - 1, r[0]))
+            ends += size
+        # a row for each slot, so that any number of runs is looked up by a plain join
+        at, slot, place = self.fresh(), self.fresh(), self.fresh()
+        slots = self.spark.createDataFrame(runs, "lo long, hi long, r long").select(F.explode(F.sequence("lo", "hi")).alias(slot), F.col("r").alias(place))
+        self.df = self.df.withColumn(at, self._only(domain, rng.slot(self.seed, stream, n, rank))).join(slots, F.col(at) == F.col(slot), "left").drop(at, slot)
+        self.shared[a["row"]] = a["weight"], n, place
+
     def gen_timeseries(self, a, stream, domain, row, rank, n):
         f = lambda k: float(a[k]) if k in a else None
         z = shapes.normal(self.u(stream, row, 1), self.u(stream, row, 2))

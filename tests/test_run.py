@@ -89,6 +89,22 @@ def test_linked_rows_beyond_the_limit(spark, tmp_path, monkeypatch, limit, parts
     assert {r["L.A"] for r in got} == {f"x{i}" for i in range(30)}
 
 
+@pytest.mark.parametrize("limit", [2, 100])
+def test_linked_rows_by_weight(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(files, "LIMIT", limit)
+    path = tmp_path / "c.csv"
+    path.write_text("a,b,n\nx0,y0,500\nx1,y1,0\nx2,y2,1200\nx3,y3,300\n")
+    got = rows(spark, seq("L", LINKED.format(path, ' weight="n"')), 200)
+    drawn = [r["L.A"] for r in got]
+    assert {x: drawn.count(x) for x in set(drawn)} == {"x0": 50, "x2": 120, "x3": 30}
+    assert all(r["L.A"][1:] == r["L.B"][1:] for r in got)
+    with pytest.raises(ConfigError, match="weight"):
+        rows(spark, seq("L", LINKED.format(path, "") + f'<gen name="C" type="file" src="{path}" column="a" row="i" weight="n"/>'), 20)
+    path.write_text("a,b,n\nx0,y0,\nx1,y1,3\n")
+    with pytest.raises(ConfigError, match="numbers"):
+        rows(spark, seq("L", LINKED.format(path, ' weight="n"')), 20)
+
+
 @pytest.mark.parametrize("body,code", [
     (seq("A", '<gen type="nothing"/>'), "E012"), (seq("_A", '<gen type="increment"/>'), "E014"), (seq("A", '<gen type="increment"/>') * 2, "E015"), (seq("A", '<gen type="increment"/>', ' parent="B.x"'), "E016"),
     (seq("A", '<gen type="number" value="1..9" missing="2"/>'), "E030"), (seq("A", '<gen type="number" value="1..3"/>', ' uniq="true"'), "E080"),
