@@ -68,12 +68,31 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).count().where("count > 1")
 
 
-def differing(draws: list[list[Column]]) -> list[Column]:
-    """For each field the first of its attempts that no earlier field of the row took; an error when all are taken."""
-    out: list[Column] = []
-    for attempts in draws:
-        free = F.filter(F.array(*attempts), lambda x: F.lit(True) if not out else ~F.array_contains(F.array(*out), x))
-        out.append(F.when(F.size(free) > 0, F.get(free, 0)).otherwise(F.raise_error(F.lit("no value is left that differs within the row"))))
+#: Attempts at a value that differs within the row, the first draw included.
+ATTEMPTS = 100
+#: Attempts with a stream of their own; the later ones share one, and are drawn only where all of these are taken.
+APART = 12
+
+
+def later(draw) -> Column:
+    """The list of a field's attempts beyond the first APART, by number."""
+    return F.transform(F.sequence(F.lit(APART).cast("long"), F.lit(ATTEMPTS - 1).cast("long")), draw)
+
+
+def differing(draws: list[list[Column]], more: list[Column]) -> Column:
+    """A list: for each field the first of its attempts, those of more last, that no earlier field of the row took; an error when all are taken."""
+    let = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    none = F.raise_error(F.lit("no value is left that differs within the row"))
+
+    def chosen(attempts: list[Column], rest: Column):
+        def add(taken: Column) -> Column:
+            free = lambda some: F.get(F.filter(some, lambda x: ~F.array_contains(taken, x)), 0)
+            return F.concat(taken, F.array(F.coalesce(free(F.array(*attempts)), free(rest), none)))
+        return add
+
+    out = F.array(draws[0][0])
+    for attempts, rest in zip(draws[1:], more[1:], strict=True):
+        out = let(out, chosen(attempts, rest))
     return out
 
 

@@ -777,14 +777,19 @@ class Run:
                 for g in c.children:
                     if g.tag == "gen":
                         nodes[f"{c.attrs['name']}.{g.attrs['name']}" if "name" in g.attrs else c.attrs["name"]] = g
-        draws = []
+        draws, more = [], []
         for x in names:
             i = self.info[x]
-            again = [self.draw(nodes[x], f"{x}#d{k}", self.everything(), F.col(ID), rng.slot(self.seed, f"{x}#r{k}", self.count, F.col(ID)), self.count)[0] for k in range(1, 13)]
+            again = [self.draw(nodes[x], f"{x}#d{k}", self.everything(), F.col(ID), rng.slot(self.seed, f"{x}#r{k}", self.count, F.col(ID)), self.count)[0] for k in range(1, checks.APART)]
             draws.append([F.col(i.name), *again])
-        for x, c in zip(names, checks.differing(draws)):
+            # the later attempts read one permutation from a place that moves on
+            rank = rng.slot(self.seed, f"{x}#r", self.count, F.col(ID))
+            more.append(checks.later(lambda k: self.draw(nodes[x], f"{x}#d#e", self.everything(), F.col(ID) * checks.ATTEMPTS + k, F.pmod(rank + k, F.lit(self.count)), self.count)[0]))
+        together = self.fresh()
+        self.df = self.df.withColumn(together, checks.differing(draws, more))
+        for k, x in enumerate(names):
             fresh = self.fresh()
-            self.df = self.df.withColumn(fresh, c)
+            self.df = self.df.withColumn(fresh, F.get(together, k))
             self.info[x].name = fresh
 
     def _uniq_check(self, names: list[str]):

@@ -442,9 +442,10 @@ def uniq_mixed_radix(spark, d):
 
 @query("SELECT i AS id, true AS ok FROM range(0, 500) r(i)")
 def distinct_within_row(spark, d):
-    draw = lambda f: [rng.between("s", f"{f}#d{k}", F.col("id"), 1, 4) for k in range(12)]
-    x, y, z = checks.differing([draw("x"), draw("y"), draw("z")])
-    return spark.range(500).select("id", ((x != y) & (y != z) & (x != z)).alias("ok"))
+    draw = lambda f: [rng.between("s", f"{f}#d{k}", F.col("id"), 1, 4) for k in range(checks.APART)]
+    more = [checks.later(lambda k, f=f: rng.between("s", f"{f}#d", F.col("id") * checks.ATTEMPTS + k, 1, 4)) for f in "xyz"]
+    x, y, z = (F.get("v", k) for k in range(3))
+    return spark.range(500).withColumn("v", checks.differing([draw("x"), draw("y"), draw("z")], more)).select("id", ((x != y) & (y != z) & (x != z)).alias("ok"))
 
 
 @query("SELECT c_nationkey, c_mktsegment, count(*) AS count FROM customer GROUP BY 1, 2 HAVING count(*) > 1")

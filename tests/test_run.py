@@ -105,6 +105,12 @@ def test_linked_rows_by_weight(spark, tmp_path, monkeypatch, limit):
         rows(spark, seq("L", LINKED.format(path, ' weight="n"')), 20)
 
 
+def test_distinct_redraws_until_a_value_is_left(spark):
+    body = "".join(seq(x, '<gen type="number" value="1..4"/>') for x in "ABC") + '<distinct of="A,B,C"/>'
+    df = Run(spark, env(body, 40_000)).table()
+    assert df.where("A != B and B != C and A != C").count() == 40_000
+
+
 @pytest.mark.parametrize("body,code", [
     (seq("A", '<gen type="nothing"/>'), "E012"), (seq("_A", '<gen type="increment"/>'), "E014"), (seq("A", '<gen type="increment"/>') * 2, "E015"), (seq("A", '<gen type="increment"/>', ' parent="B.x"'), "E016"),
     (seq("A", '<gen type="number" value="1..9" missing="2"/>'), "E030"), (seq("A", '<gen type="number" value="1..3"/>', ' uniq="true"'), "E080"),
