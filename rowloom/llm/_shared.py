@@ -4,11 +4,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_kept: dict[int, tuple] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where it is unset, and only in local mode, a folder of our own."""
     sc = spark.sparkContext
@@ -36,10 +40,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def keep(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Like cut(), as compressed Parquet: for wide rows."""
+    """The rows of df, written as compressed Parquet to the shared folder and read from there."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _kept[id(out)] = (weakref.ref(out, lambda _, i=id(out): _kept.pop(i, None)), path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes what keep() wrote for these, once nothing will read them again."""
+    for df in tables:
+        _, path = _kept.pop(id(df))
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
