@@ -5,21 +5,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import keep
+
+#: Tasks over a sample.
+SLICES = 16
+
 
 def fold(of: int) -> Column:
     """crc32 of doc_id as text, modulo `of`; of a null id, of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> list[tuple[str, int]]:
-    """At most `limit` labelled rows that may be learnt from, the first by hash of id: (text, label). A label of an id given twice counts as its largest."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
+    """(doc_id, text, y) of at most `limit` labelled ids that may be learnt from, the first by hash of id, kept in the shared folder.
+
+    A label of an id given twice counts as its largest; of several texts of an id the least is taken. A null text is empty.
+    """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(learn)
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    rows = F.broadcast(picked).join(docs.select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * limit)
-    return [(r.text or "", r.y) for r in rows.select("text", "y").toLocalIterator()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return keep(found.repartition(SLICES, "doc_id"), "sample")
+
+
+def cell(of: int) -> Column:
+    """A row's part of a sample, from 0 to of - 1, by another hash of its id than the one that picked it."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.lit(of)).cast("int").alias("cell")
 
 
 class Isotonic:

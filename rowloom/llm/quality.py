@@ -3,7 +3,8 @@
 A text that its dictionary knows compresses smaller. The statistic is the difference of the
 two compressed sizes over the text's bytes; an isotonic fit turns it into a score.
 Dictionaries and calibration are learnt from separate halves of a bounded sample of
-labelled rows (SAMPLE), each whole. Scoring is one scan without a shuffle; whole texts are
+labelled rows (SAMPLE), a dictionary from at most PIECES pieces of the whole texts of its
+label, picked by hash, in one task; no text reaches the driver. Scoring is one scan without a shuffle; whole texts are
 compressed, long ones as a stream of blocks.
 
 Defined cases: null counts as empty, whose statistic is 0 and whose score is that of 0; a
@@ -12,38 +13,31 @@ mean label, 0.5 if there are none. Repeated rows get equal scores, a row each; o
 """
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._labels import Isotonic, fold, sample
+from ._labels import Isotonic, cell, fold, sample
 
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 6_000
 #: Bytes of each dictionary.
 SIZE = 112_640
 PIECE = 2_000
+#: Pieces that a dictionary is trained on, at most.
+PIECES = 10_000
 LEVEL = 3
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int]]):
-        half = [[t.encode() for t, y in rows[0::2] if y == k and t] for k in (0, 1)]
-        self.dictionaries = [self._dictionary(x) for x in half]
+    def __init__(self, bad: bytes, good: bytes, mean: float):
+        self.dictionaries = [bad, good]
         self.good = self.bad = None
-        rest = rows[1::2] or rows
-        self.calibrate = Isotonic([self.statistic(t.encode()) for t, _ in rest], [y for _, y in rest])
-
-    @staticmethod
-    def _dictionary(texts: list[bytes]) -> bytes:
-        """Trained on pieces of whole texts; where they are too few for training, their own bytes."""
-        pieces = [t[i:i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-        try:
-            return zstandard.train_dictionary(SIZE, pieces, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            return b"\n".join(pieces)[-SIZE:]
+        self.calibrate = Isotonic([], []) if mean is None else Isotonic([0.0], [mean])
 
     def __getstate__(self):
         return self.__dict__ | {"good": None, "bad": None}
@@ -62,8 +56,52 @@ class Model:
         return self.calibrate(np.array([self.statistic((t or "").encode()) for t in texts], float))
 
 
+def dictionary(pieces: list[bytes]) -> bytes:
+    """Trained on the pieces; where they are too few for training, their own bytes."""
+    try:
+        return zstandard.train_dictionary(SIZE, pieces, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(pieces)[-SIZE:]
+
+
+def _pieces(batches):
+    for batch in batches:
+        for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            raw = text.encode()
+            for i in range(0, len(raw), PIECE * 256):
+                part = [raw[j:j + PIECE] for j in range(i, min(len(raw), i + PIECE * 256), PIECE)]
+                order = [hashlib.blake2b(b"%d %d" % (doc, i + PIECE * j), digest_size=8).digest() for j in range(len(part))]
+                yield pa.RecordBatch.from_arrays([pa.array(order, pa.binary()), pa.array(part, pa.binary())], names=["order", "piece"])
+
+
+def _train(batches):
+    got = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    if got:
+        yield pa.RecordBatch.from_arrays([pa.array([dictionary([piece for _, piece in sorted(got)])], pa.binary())], names=["dictionary"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = SAMPLE) -> Model:
-    return Model(sample(docs, labels, "quality", learn, limit))
+    """Both dictionaries are trained in a task each; the driver gets these, and a number for each row of the other half."""
+    rows = sample(docs, labels, "quality", learn, limit).select("doc_id", "text", "y", cell(2))
+    found = []
+    for k in (0, 1):
+        pieces = rows.where((F.col("cell") == 0) & (F.col("y") == k)).select("doc_id", "text").mapInArrow(_pieces, "order binary, piece binary")
+        got = pieces.orderBy("order", "piece").limit(PIECES).mapInArrow(_train, "dictionary binary").collect()
+        found.append(bytes(got[0][0]) if got else b"")
+    mean = rows.agg(F.avg("y")).first()[0]
+    model = Model(*found, mean)
+    if mean is None or mean in (0.0, 1.0):
+        return model
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.statistic(t.encode()) for t in batch.column(1).to_pylist()], pa.float64()), batch.column(2)], names=["doc_id", "x", "y"])
+
+    half = rows.where("cell = 1").select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, x double, y int").collect()
+    if half:
+        half.sort(key=lambda r: r.doc_id)
+        model.calibrate = Isotonic([r.x for r in half], [r.y for r in half])
+    return model
 
 
 def score(docs: DataFrame, model) -> DataFrame:

@@ -4,6 +4,7 @@ A lexicon of words and word beginnings is learnt from a bounded sample of labell
 (SAMPLE): those that toxic texts hold more often than chance allows, by log-odds. Features
 are densities of its words, their nearness to a second person, capitals, punctuation and
 obfuscation rates. Trees are fitted on the sample, the calibration on out-of-fold scores.
+Words are counted and features computed on the executors; the driver gets numbers alone.
 Scoring is one scan without a shuffle; each text is read whole, as bytes.
 
 Defined cases: null counts as empty, whose features are all 0; a label other than 0 or 1 is
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._labels import Isotonic, fold, sample
+from ._labels import Isotonic, cell, fold, sample
 
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 8_000
+#: Cells of the sample: folds of two halves.
+CELLS = 8
 #: Bytes of word beginnings that the lexicon may hold.
 STEMS = (5, 6, 7, 8, 9)
 TREES, DEPTH, BINS, RATE = 80, 3, 32, 0.15
@@ -77,46 +80,62 @@ def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def learn_lexicon(texts: list[str], y: list[int], least: int = 4, bar: float = 2.0) -> Lexicon:
-    """Words and stems in at least `least` toxic texts whose smoothed log-odds exceed `bar`; a stem also needs to say more than chance by four standard errors."""
-    labels = np.array(y)
-    pos, neg = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    seen: list[list[np.ndarray]] = [[[], []], [[], []]]
-    row = 0
-    for _, _, data, off in X.chunks(_lower(pa.array(texts, pa.string()))):
-        w = X.split(data, off, X.PLAIN)
-        h = w.hashes()
-        doc = np.searchsorted(w.at, np.arange(len(h)), "right") - 1
-        for which, (i, g) in [(0, (np.arange(len(h)), h)), *((1, _stem_hashes(w, n)) for n in STEMS)]:
-            d = doc[i]
-            order = np.lexsort((g, d))
-            g, d = g[order], d[order]
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-            g, t = g[new], labels[row + d[new]]
-            for k in (0, 1):
-                seen[which][k].append(g[t == k])
-        row += len(off) - 1
-    out = []
-    for which in (0, 1):
-        (g, n), (other, m) = (np.unique(np.concatenate(seen[which][k]) if seen[which][k] else np.empty(0, np.uint64), return_counts=True) for k in (1, 0))
-        g, n = g[n >= least], n[n >= least].astype(float)
-        at = np.minimum(np.searchsorted(other, g), max(0, len(other) - 1))
-        m = np.where(other[at] == g, m[at], 0).astype(float) if len(other) else np.zeros(len(g))
+class Counts:
+    """Of a sample in CELLS cells: in how many toxic and other texts of each a word or stem occurs."""
+
+    def __init__(self, texts: np.ndarray, which: np.ndarray, key: np.ndarray, n: np.ndarray):
+        self.texts, self.which, self.key, self.n = texts, which, key, n  # n: (keys, cells, 2), texts: (cells, 2)
+
+    def lexicon(self, cells: list[int], least: int = 4, bar: float = 2.0) -> Lexicon:
+        """Words and stems in at least `least` toxic texts of the cells whose smoothed log-odds exceed `bar`; and they need to say more than chance by six standard errors."""
+        neg, pos = (max(1, int(self.texts[cells, k].sum())) for k in (0, 1))
+        m, n = (self.n[:, cells, k].sum(1).astype(float) for k in (0, 1))
         odds = np.log((n + 0.5) / (pos + 1)) - np.log((m + 0.5) / (neg + 1))
         share = (n + m) / (pos + neg)
         z = (n / pos - m / neg) / np.maximum(1e-9, np.sqrt(share * (1 - share) * (1 / pos + 1 / neg)))
-        ok = (odds > bar - 0.5 * which) & (z > 6)
-        out.append(dict(zip(g[ok].tolist(), odds[ok].tolist(), strict=True)))
-        seen[which] = []
-    return Lexicon(*out)
+        ok = (n >= least) & (odds > bar - 0.5 * self.which) & (z > 6)
+        return Lexicon(*(dict(zip(self.key[i].tolist(), odds[i].tolist(), strict=True)) for i in (np.flatnonzero(ok & (self.which == k)) for k in (0, 1))))
+
+
+def _occur(batches):
+    """(which, key, slot, n) over a task's rows (cell, y, text): texts of each slot, 2 * cell + y, with a word (which 0) or stem (1)."""
+    for batch in batches:
+        slot = 2 * batch.column(0).to_numpy() + batch.column(1).to_numpy()
+        for first, _, data, off in X.chunks(_lower(batch.column(2))):
+            w = X.split(data, off, X.PLAIN)
+            h = w.hashes()
+            doc = np.searchsorted(w.at, np.arange(len(h)), "right") - 1
+            for which, (i, g) in [(0, (np.arange(len(h)), h)), *((1, _stem_hashes(w, n)) for n in STEMS)]:
+                d = doc[i]
+                order = np.lexsort((g, d))
+                g, d = g[order], d[order]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+                g, t = g[new], slot[first + d[new]]
+                order = np.lexsort((t, g))
+                g, t = g[order], t[order]
+                at = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])])) if len(g) else np.empty(0, np.int64)
+                n = np.diff(np.append(at, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), which, np.int32)), pa.array(g[at].view(np.int64)), pa.array(t[at].astype(np.int32)), pa.array(n.astype(np.int32))], names=["which", "key", "slot", "n"])
+
+
+def count(rows: DataFrame, least: int = 3) -> Counts:
+    """Of rows (cell, y, text); only what `least` toxic texts hold reaches the driver."""
+    texts = np.zeros((CELLS, 2), np.int64)
+    for r in rows.groupBy("cell", "y").count().collect():
+        texts[r.cell, r.y] = r["count"]
+    seen = rows.select("cell", "y", "text").mapInArrow(_occur, "which int, key long, slot int, n int")
+    each = [F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i in range(2 * CELLS)]
+    some = seen.groupBy("which", "key").agg(*each).where(sum(F.col(f"n{2 * c + 1}") for c in range(CELLS)) >= least).toArrow()
+    n = np.column_stack([some.column(f"n{i}").to_numpy() for i in range(2 * CELLS)]).reshape(-1, CELLS, 2)
+    return Counts(texts, some.column("which").to_numpy(), some.column("key").to_numpy().view(np.uint64), n)
 
 
 N_FEATURES = 18
 
 
-def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """A row of densities and rates for each text."""
+def features(column: pa.Array, *lexica: Lexicon) -> np.ndarray:
+    """A row of densities and rates for each text; of several lexica, their rows one after the other."""
     rows = []
     you = np.sort(_hash_all(YOU))
     plain = [(X.byte_view(c)) for c in (column,)][0]
@@ -127,35 +146,15 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         n_words = np.maximum(1, np.diff(w.at)).astype(float)
         doc = np.searchsorted(w.at, np.arange(len(h)), "right") - 1
         total = lambda v, d=doc: np.bincount(d, weights=v, minlength=docs)[:docs]
-        exact = lexicon.look(h, 0)
-        stem = np.zeros(len(h))
-        for n in STEMS:
-            i, g = _stem_hashes(w, n)
-            stem[i] = np.maximum(stem[i], lexicon.look(g, 1))
-        leet_data = _leet_map[data]
+        stems = [_stem_hashes(w, n) for n in STEMS]
         sums = np.concatenate([[0], np.cumsum(_digit[data])])
         digits = sums[w.end] - sums[w.start]
         mixed = (digits > 0) & (digits < w.end - w.start)
-        hard = np.zeros(len(h))
-        if mixed.any():
-            i = np.flatnonzero(mixed)
-            hard[i] = lexicon.look(X.Words(leet_data, w.off, w.start[i], w.end[i], w.at).hashes(), 0)
-        hit = np.maximum(np.maximum(exact, stem), hard)
-        at = np.flatnonzero(np.isin(h, you))
-        near = np.zeros(len(h))
-        hits = np.flatnonzero(hit > 0)
-        if len(at) and len(hits):
-            k = np.searchsorted(at, hits)
-            gap = np.full(len(hits), NEAR + 1)
-            for side in (k - 1, k):
-                ok = (side >= 0) & (side < len(at))
-                s = at[np.where(ok, side, 0)]
-                ok &= doc[s] == doc[hits]
-                gap = np.where(ok, np.minimum(gap, np.abs(s - hits)), gap)
-            near[hits] = gap <= NEAR
+        plainly = np.flatnonzero(mixed)
+        leet = X.Words(_leet_map[data], w.off, w.start[plainly], w.end[plainly], w.at).hashes() if len(plainly) else h[:0]
+        addressed = np.isin(h, you)
+        at = np.flatnonzero(addressed)
         one = lambda v: (v > 0).astype(float)
-        top = np.zeros(docs)
-        np.maximum.at(top, doc[hits], hit[hits])
         # capitals and signs are of the text as it is
         whole, bounds = plain
         raw, roff = whole[bounds[first]:bounds[end]], bounds[first:end + 1] - bounds[first]
@@ -168,14 +167,36 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         twice = np.zeros(len(raw), bool)
         twice[1:] = sign[1:] & (raw[1:] == raw[:-1])
         letters = np.maximum(1.0, count(letter))
-        lex, lex_stem = total(one(exact)), total(one(stem))
-        rows.append(np.column_stack([
-            lex, lex / n_words, total(exact) / n_words, lex_stem, lex_stem / n_words, total(stem) / n_words, top,
-            total(one(hard)) / n_words, total(near), total(near) / n_words, total(one(hit)) / n_words, np.log1p(n_words),
-            count(capital) / letters, count(loud) / size, count(sign) / size, count(twice) / size, total(mixed.astype(float)) / n_words,
-            total(np.isin(h, you).astype(float)) / n_words,
-        ]))
-    return np.concatenate(rows) if rows else np.zeros((0, N_FEATURES))
+        same = [
+            np.log1p(n_words), count(capital) / letters, count(loud) / size, count(sign) / size, count(twice) / size,
+            total(mixed.astype(float)) / n_words, total(addressed.astype(float)) / n_words,
+        ]
+        columns = []
+        for lexicon in lexica:
+            exact, stem, hard, near, top = (np.zeros(k) for k in (len(h), len(h), len(h), len(h), docs))
+            exact[:] = lexicon.look(h, 0)
+            for i, g in stems:
+                stem[i] = np.maximum(stem[i], lexicon.look(g, 1))
+            hard[plainly] = lexicon.look(leet, 0)
+            hit = np.maximum(np.maximum(exact, stem), hard)
+            hits = np.flatnonzero(hit > 0)
+            if len(at) and len(hits):
+                k = np.searchsorted(at, hits)
+                gap = np.full(len(hits), NEAR + 1)
+                for side in (k - 1, k):
+                    ok = (side >= 0) & (side < len(at))
+                    s = at[np.where(ok, side, 0)]
+                    ok &= doc[s] == doc[hits]
+                    gap = np.where(ok, np.minimum(gap, np.abs(s - hits)), gap)
+                near[hits] = gap <= NEAR
+            np.maximum.at(top, doc[hits], hit[hits])
+            lex, lex_stem = total(one(exact)), total(one(stem))
+            columns += [
+                lex, lex / n_words, total(exact) / n_words, lex_stem, lex_stem / n_words, total(stem) / n_words, top,
+                total(one(hard)) / n_words, total(near), total(near) / n_words, total(one(hit)) / n_words, *same,
+            ]
+        rows.append(np.column_stack(columns))
+    return np.concatenate(rows) if rows else np.zeros((0, N_FEATURES * len(lexica)))
 
 
 class Trees:
@@ -242,32 +263,8 @@ class Trees:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int]], folds: int = 4):
-        texts, y = [t for t, _ in rows], np.array([v for _, v in rows], float)
-        self.mean = float(y.mean()) if len(y) else 0.5
-        self.trees = None
-        if len(set(y.tolist())) < 2:
-            return
-        raw = np.zeros(len(y))
-        which = np.arange(len(y)) % folds
-        for k in range(folds):
-            rest = np.flatnonzero(which != k)
-            if len(set(y[rest].tolist())) < 2:
-                continue
-            lexicon, trees = self._fit([texts[i] for i in rest], y[rest])
-            mine = np.flatnonzero(which == k)
-            raw[mine] = trees(features(pa.array([texts[i] for i in mine], pa.string()), lexicon))
-        self.calibrate = Isotonic(raw, y)
-        self.lexicon, self.trees = self._fit(texts, y)
-
-    @staticmethod
-    def _fit(texts, y):
-        """The lexicon from one half of the rows is what the trees see on the other, and the other way round; so its words count no more in fitting than they will later."""
-        a, b = texts[0::2], texts[1::2]
-        x = np.zeros((len(texts), N_FEATURES))
-        x[0::2] = features(pa.array(a, pa.string()), learn_lexicon(b, y[1::2].tolist(), 3))
-        x[1::2] = features(pa.array(b, pa.string()), learn_lexicon(a, y[0::2].tolist(), 3))
-        return learn_lexicon(texts, y.tolist()), Trees(x, y)
+    def __init__(self, mean: float, lexicon: Lexicon | None = None, trees: Trees | None = None, calibrate: Isotonic | None = None):
+        self.mean, self.lexicon, self.trees, self.calibrate = mean, lexicon, trees, calibrate
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         if self.trees is None:
@@ -275,8 +272,51 @@ class Model:
         return self.calibrate(self.trees(features(column, self.lexicon)))
 
 
+def _described(lexica: list[dict]):
+    """(doc_id, y, x) of rows (doc_id, cell, y, text): their features by each model's lexicon for their cell, one after the other."""
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column(1).to_numpy()
+            for c in np.unique(cells):
+                part = batch.filter(pa.array(cells == c))
+                for i in range(0, part.num_rows, 512):
+                    some = part.slice(i, 512)
+                    x = features(some.column(3), *(look[int(c)] for look in lexica))
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), lists], names=["doc_id", "cell", "y", "x"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = SAMPLE) -> Model:
-    return Model(sample(docs, labels, "toxic", learn, limit))
+    """The driver gets counts of words and features of the sampled rows, no texts.
+
+    A model is fitted without each fold, for the calibration, and one on all. The lexicon from
+    one half of its rows is what its trees see on the other, and the other way round; so its
+    words count no more in fitting than they will later.
+    """
+    rows = sample(docs, labels, "toxic", learn, limit).select("doc_id", cell(CELLS), "y", "text")
+    counts = count(rows)
+    n = counts.texts.sum(0)
+    mean = float(n[1] / n.sum()) if n.sum() else 0.5
+    if not n.all():
+        return Model(mean)
+    lexica, last = [], None
+    for k in (*range(CELLS // 2), None):
+        rest = [c for c in range(CELLS) if c // 2 != k]
+        last = counts.lexicon(rest)
+        halves = [counts.lexicon([c for c in rest if c % 2 != half], 3) for half in (0, 1)]
+        lexica.append({c: last if c // 2 == k else halves[c % 2] for c in range(CELLS)})
+    got = rows.mapInArrow(_described(lexica), "doc_id long, cell int, y int, x array<double>").toArrow().sort_by("doc_id")
+    y, fold_of = got.column("y").to_numpy().astype(float), got.column("cell").to_numpy() // 2
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(lexica), N_FEATURES)
+    raw = np.zeros(len(y))
+    for k in range(CELLS // 2):
+        mine, rest = fold_of == k, fold_of != k
+        if len(set(y[rest].tolist())) == 2:
+            raw[mine] = Trees(x[rest, k], y[rest])(x[mine, k])
+    return Model(mean, last, Trees(x[:, -1], y), Isotonic(raw, y))
 
 
 def _texts(batch: pa.RecordBatch) -> pa.Array:
