@@ -34,7 +34,7 @@ WEEKDAYS = {
     "pl": "poniedziałek wtorek środa czwartek piątek sobota niedziela",
     "ru": "понедельник вторник среда четверг пятница суббота воскресенье",
     "el": "Δευτέρα Τρίτη Τετάρτη Πέμπτη Παρασκευή Σάββατο Κυριακή",
-    "ar": "الاثنين الثلاثاء الأربعاء الخميس الجمعة السبت الأحد",
+    "ar": "الإثنين الثلاثاء الأربعاء الخميس الجمعة السبت الأحد",
     "zh-cn": "星期一 星期二 星期三 星期四 星期五 星期六 星期日",
 }
 LONG = {
@@ -43,22 +43,63 @@ LONG = {
     "pl": {"L": "DD.MM.YYYY", "LL": "D MMMM YYYY"}, "ru": {"L": "DD.MM.YYYY", "LL": "D MMMM YYYY г."}, "el": {"L": "DD/MM/YYYY", "LL": "D MMMM YYYY"},
     "ar": {"L": "D/M/YYYY", "LL": "D MMMM YYYY"}, "zh-cn": {"L": "YYYY/MM/DD", "LL": "YYYY年M月D日"},
 }
-_TOKEN = re.compile(r"\[([^\]]*)\]|(LL|L|YYYY|YY|MMMM|MMM|MM|M|DD|D|dddd|ddd|HH|H|mm|m|ss|s|SSS|ZZ|Z)|(.)", re.S)
+#: Short names that are no plain cut of the long ones.
+SHORT_MONTHS = {
+    "ru": "янв. февр. март апр. май июнь июль авг. сент. окт. нояб. дек.",
+    "fr": "janv. févr. mars avr. mai juin juil. août sept. oct. nov. déc.",
+    "de": "Jan. Feb. März Apr. Mai Juni Juli Aug. Sept. Okt. Nov. Dez.",
+    "el": "Ιαν Φεβ Μαρ Απρ Μαΐ Ιουν Ιουλ Αυγ Σεπ Οκτ Νοε Δεκ",
+}
+SHORT_WEEKDAYS = {"ru": "пн вт ср чт пт сб вс", "pl": "pn wt śr cz pt sb nd"}
+
+
+def short_months(locale: str) -> list[str]:
+    names = MONTHS[locale].split()
+    if locale in SHORT_MONTHS:
+        return SHORT_MONTHS[locale].split()
+    if locale == "zh-cn":
+        return [f"{i}月" for i in range(1, 13)]
+    return names if locale == "ar" else [n[:3] + "." * (locale in ("es", "pt")) for n in names]
+
+
+def short_weekdays(locale: str) -> list[str]:
+    names = WEEKDAYS[locale].split()
+    if locale in SHORT_WEEKDAYS:
+        return SHORT_WEEKDAYS[locale].split()
+    if locale == "zh-cn":
+        return ["周" + n[-1] for n in names]
+    if locale == "ar":
+        return [n[2:] for n in names]
+    return [n[:2 if locale == "de" else 3] + "." * (locale == "fr") for n in names]
+
+
+def long_format(token: str, locale: str) -> str:
+    """LL with the time, and before it the weekday."""
+    day = LONG[locale]["LL"]
+    if token == "LLLL":
+        day = day + "dddd" if locale == "zh-cn" else "dddd" + (" " if locale in ("fr", "it", "ar") else ", ") + day
+    return day + " HH:mm"
+
+
+_TOKEN = re.compile(r"\[([^\]]*)\]|(LLLL|LLL|LL|L|YYYY|YY|MMMM|MMM|MM|M|DD|D|dddd|ddd|HH|H|mm|m|ss|s|SSS|ZZ|Z)|(.)", re.S)
 _JAVA = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "M": "M", "DD": "dd", "D": "d", "HH": "HH", "H": "H", "mm": "mm", "m": "m", "ss": "ss", "s": "s", "SSS": "SSS"}
 
 
 def formatted(ts: Column, pattern: str, locale: str = "en") -> Column:
     """A timestamp by tokens. Names come from tables, not from the machine's locale."""
     months, days = MONTHS[locale].split(), WEEKDAYS[locale].split()
-    name = lambda words, i, n=None: F.element_at(F.array(*[F.lit(w[:n] if n else w) for w in words]), i.cast("int"))
+    name = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), i.cast("int"))
+    pattern = {"ISO": "YYYY-MM-DD", "ISO_TIME": "YYYY-MM-DD[T]HH:mm:ss"}.get(pattern, pattern)
     parts: list[Column] = []
     for literal, token, other in _TOKEN.findall(pattern):
         if token in ("L", "LL"):
             parts.append(formatted(ts, LONG[locale][token], locale))
+        elif token in ("LLL", "LLLL"):
+            parts.append(formatted(ts, long_format(token, locale), locale))
         elif token in ("MMMM", "MMM"):
-            parts.append(name(months, F.month(ts), 3 if token == "MMM" else None))
+            parts.append(name(months if token == "MMMM" else short_months(locale), F.month(ts)))
         elif token in ("dddd", "ddd"):
-            parts.append(name(days, F.weekday(ts) + 1, 3 if token == "ddd" else None))
+            parts.append(name(days if token == "dddd" else short_weekdays(locale), F.weekday(ts) + 1))
         elif token in ("Z", "ZZ"):
             parts.append(F.lit("+00:00" if token == "Z" else "+0000"))
         elif token:

@@ -1,6 +1,8 @@
 """Statistics of whole columns, uniqueness, imperfections and checks of a run."""
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,14 @@ def missing(c: Column, u: Column, share: float, token: str = "") -> Column:
 
 
 def anomaly(c: Column, u: Column, share: float, factor: float = 10.0) -> Column:
-    """Numeric cells of a share of rows times the factor, with their decimals and width; words stay."""
+    """Numeric cells of a share of rows times the factor, rounded half away from zero to their decimals (12 at most), with their width; words stay."""
     number = c.rlike(r"^[+-]?\d+(\.\d+)?$")
     decimals = F.length(F.regexp_extract(c, r"\.(\d+)$", 1))
-    exact = (F.when(number, c).cast("decimal(30,8)") * F.lit(str(factor)).cast("decimal(8,3)")).cast("decimal(38,8)")
-    text = exact.cast("string")
-    whole, part = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
-    out = F.when(decimals > 0, F.concat(whole, F.lit("."), F.substring(F.rpad(part, 20, "0"), F.lit(1), decimals))).otherwise(whole)
+    by = Decimal(str(factor))
+    exact = F.when(number, c).cast("decimal(24,12)") * F.lit(format(by, "f")).cast(f"decimal(13,{min(12, max(0, -by.as_tuple().exponent))})")
+    out = F.round(exact, 0).cast("decimal(38,0)").cast("string")
+    for d in range(1, 13):
+        out = F.when(decimals == d, F.round(exact, d).cast(f"decimal(38,{d})").cast("string")).otherwise(out)
     width = F.length(c)
     padded = F.when(c.rlike(r"^0\d") & (F.length(out) < width), F.lpad(out, width, F.lit("0"))).otherwise(out)
     return F.when((u < share) & number, padded).otherwise(c)

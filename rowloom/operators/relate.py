@@ -90,7 +90,7 @@ def pool_pick_equal(df: DataFrame, pool: DataFrame, order_by: str, mine: str, th
 
 
 def pool_pick_where(df: DataFrame, pool: DataFrame, order_by: str, allowed, u: Column, prefix: str, limit: int = 20_000) -> DataFrame:
-    """Like pool_pick(), among the members for which allowed(member struct) holds; NULL where none does.
+    """Like pool_pick(), among the members for which allowed(member struct) holds; a row that has none stops the run.
 
     The pool is one array that each row filters, so nothing is joined or shuffled; hence the smaller limit.
     """
@@ -99,7 +99,8 @@ def pool_pick_where(df: DataFrame, pool: DataFrame, order_by: str, allowed, u: C
     whole = pool.select(F.struct(F.col(order_by).alias("o"), fields.alias("m")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("_all"))
     out = df.crossJoin(F.broadcast(whole)).withColumn("_some", F.filter("_all", lambda x: allowed(x["m"])))
     n = F.size("_some")
-    return out.withColumn("_x", F.when(n > 0, F.get("_some", F.least(F.floor(u * n), n - 1).cast("int"))["m"])).select(*df.columns, "_x.*")
+    place = F.when(n > 0, F.least(F.floor(u * n), n - 1)).otherwise(F.raise_error(F.lit("no member of the pool is allowed for a row")).cast("long"))
+    return out.withColumn("_x", F.get("_some", place.cast("int"))["m"]).select(*df.columns, "_x.*")
 
 
 def row_link(df: DataFrame, source: DataFrame, order_by: str, place: Column, prefix: str = "", limit: int = POOL_LIMIT) -> DataFrame:
@@ -116,8 +117,8 @@ def each(df: DataFrame, items: str, card: Column, stride: int, lane: int = 1, it
     return out.withColumn(item_id, (card.cast("long") - 1) * stride + lane + F.col("_pos")).drop("_pos")
 
 
-def list_running(items: Column, op: str = "sum") -> Column:
-    """The running value along a list of numbers."""
-    join = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[op]
-    empty = F.expr("cast(array() as array<double>)")
-    return F.aggregate(items, empty, lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(join(F.element_at(s, -1), x)))))
+def list_running(items: Column, op: str = "sum", kind: str = "double") -> Column:
+    """The running value along a list of numbers of a kind; decimals stay exact."""
+    join = {"sum": lambda a, b: (a + b).cast(kind), "min": F.least, "max": F.greatest}[op]
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    return F.aggregate(items, empty, lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x.cast(kind)).otherwise(join(F.element_at(s, -1), x)))))

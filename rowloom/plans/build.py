@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import re
+import secrets
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..functions import text as X
 from ..functions.compute import Node
 from ..operators import checks, prefix, relate
 from ..sources import files
+from . import sinks
 from .config import ConfigError, read, validate
 
 ID = "_id"
@@ -46,10 +48,15 @@ class Info:
     most: int = 0  # of its elements
     split: dict[str, tuple[int, int]] = field(default_factory=dict)  # value: (first slot, size)
     place: str | None = None  # slot of the row, for split
+    nullable: bool = False  # cells may be blank
+    absent: bool = False  # it exists on some rows only
 
 
 class Run:
-    """The rows of a description. Overrides win over what it says."""
+    """The rows of a description. Overrides win over what it says.
+
+    Without a seed one is invented, and without `now` the clock is read once; both are kept as attributes, so a run can be repeated.
+    """
 
     def __init__(self, spark: SparkSession, source: str, *, count: int | None = None, seed: str | None = None, locale: str | None = None, now: datetime | None = None, data: list[str] | None = None, partitions: int | None = None, rows: DataFrame | None = None):
         self.spark = spark
@@ -60,9 +67,9 @@ class Run:
         self.env = next(c for c in self.root.children if c.tag == "env")
         a = self.env.attrs
         self.count = int(a.get("count", 1)) if count is None else count
-        self.seed = a.get("seed", "0") if seed is None else seed
+        self.seed = seed if seed is not None else a["seed"] if "seed" in a else secrets.token_hex(8)
         self.locale = locale or a.get("local", "en")
-        self.now = now or datetime(2025, 1, 1)
+        self.now = now or datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         self.roots = data or []
         self.packs = files.Packs(self.roots, self.locale)
         marker = a.get("inject", "${{%}}").split("%")
@@ -74,6 +81,7 @@ class Run:
         self.links: dict[str, tuple[str, list | None, int]] = {}
         self.shared: dict[str, tuple[str, int, str]] = {}
         self.used = 0
+        self.narrow = False
         self._build()
 
     # --- names ---
@@ -84,6 +92,7 @@ class Run:
 
     def put(self, name: str, column: Column, **known) -> Info:
         i = Info(self.fresh(), **known)
+        i.absent = i.absent or self.narrow
         self.df = self.df.withColumn(i.name, column)
         self.info[name] = i
         return i
@@ -174,6 +183,7 @@ class Run:
     def _sequence(self, node: Node, outer: Domain):
         name = node.attrs["name"]
         domain = self._domain(node, outer)
+        self.narrow = domain.cond is not None
         if node.tag == "mix":
             return self._mix(node, name, domain)
         if node.tag == "switch":
@@ -297,7 +307,7 @@ class Run:
                 self.put(a["anomaly_flag"], self._only(domain, F.when(F.coalesce(flag, F.lit(False)), "true").otherwise("false")), kind="bool")
         if "missing" in a:
             c = checks.missing(c, m, float(a["missing"]), a.get("missing_as", ""))
-            known = known | {"kind": known.get("kind", "text") if not a.get("missing_as") else "text"}
+            known = known | {"kind": known.get("kind", "text") if not a.get("missing_as") else "text", "nullable": True}
         if "mask" in a:
             c, known = X.mask(c, a["mask"]), {"kind": "text"}
         if "case" in a:
@@ -355,9 +365,8 @@ class Run:
                 got = F.slice(F.array_distinct(tries), F.lit(1), F.col(size).cast("int"))
                 items = F.when(F.size(got) < F.col(size), F.raise_error(F.lit("too few different values for a list")).cast("array<string>")).otherwise(got)
         if acc:
-            d = known.get("decimals") or 0
-            sums = relate.list_running(F.transform(items, lambda x: x.cast("double")), acc)
-            items = F.transform(sums, lambda x: x.cast(f"decimal(38,{d})").cast("string"))
+            kind = f"decimal(38,{known.get('decimals') or 0})"
+            items = F.transform(relate.list_running(F.transform(items, lambda x: x.cast(kind)), acc, kind), lambda x: x.cast("string"))
         col = self.fresh()
         self.df = self.df.withColumn(col, self._only(domain, items))
         return self.put(name, F.array_join(col, sep), items=col, most=high, **known)
@@ -539,7 +548,7 @@ class Run:
             h = F.concat(F.lpad(F.lower(F.hex(rng.hashed(self.seed, stream, row, 1))), 16, "0"), F.lpad(F.lower(F.hex(rng.hashed(self.seed, stream, row, 2))), 16, "0"))
             s = lambda i, k: F.substring(h, i, k)
             variant = F.substring(F.lit("89ab"), (F.pmod(rng.hashed(self.seed, stream, row, 3), F.lit(4)) + 1).cast("int"), F.lit(1))
-            return F.concat_ws("-", s(1, 8), s(9, 4), F.concat(F.lit("4"), s(14, 3)), F.concat(variant, s(18, 3)), s(21, 12)), {}
+            return F.concat_ws("-", s(1, 8), s(9, 4), F.concat(F.lit("4"), s(14, 3)), F.concat(variant, s(18, 3)), s(21, 12)), {"kind": "uuid"}
         if value == "person.b_day":
             return self.gen_date(a | {"oldest": a.get("oldest", "80"), "youngest": a.get("youngest", "18")}, stream, domain, row, rank, n)
         if value == "date.range":
@@ -687,12 +696,12 @@ class Run:
         empty = None
         for c in read_:
             empty = (F.coalesce(c, F.lit("")) == "") if empty is None else empty | (F.coalesce(c, F.lit("")) == "")
+        bad = F.coalesce(F.isnan(v.num) | (F.abs(v.num) == float("inf")), F.lit(False))
+        none = F.raise_error(F.concat(F.lit("a formula came to no number: "), F.lit(a["expr"])))
         if "decimals" in a:
-            bad = F.isnan(v.num) | (F.abs(v.num) == float("inf"))
-            num = F.when(bad, F.raise_error(F.lit("a formula came to no number")).cast("double")).otherwise(v.num)
-            c, known = self._written(num, int(a["decimals"]))
+            c, known = self._written(F.when(bad, none.cast("double")).otherwise(v.num), int(a["decimals"]))
         else:
-            c, known = v.text, {}
+            c, known = F.when(bad, none.cast("string")).otherwise(v.text), {}
         return (c if empty is None else F.when(~empty, c).otherwise(F.lit(""))), known
 
     def gen_pool(self, a, stream, domain, row, rank, n):
@@ -736,6 +745,18 @@ class Run:
     def _uniq(self, parts: list[Node], name: str, domain: Domain):
         """Distinct combinations of listed values: digits of a permuted number, so equal shares hold as well as they can."""
         self._whole("uniqueness")
+        for p in parts:
+            if odd := p.attrs.keys() & {"missing", "anomaly", "mask", "case", "repeat"}:
+                raise ConfigError("E083", f"uniqueness of {name} can't be promised together with {', '.join(sorted(odd))}")
+            shares = apportion.shares(p.attrs["percent"], len(p.attrs.get("value", "").split(","))) if "percent" in p.attrs else [1]
+            if len(set(shares)) > 1:
+                raise ConfigError("E083", f"uniqueness of {name} can't be promised with uneven shares")
+        if any(p.attrs.get("type") in ("increment", "decrement") for p in parts):
+            # a counter differs on every row, so whatever stands beside it does too
+            if len(parts) == 1 and "name" not in parts[0].attrs:
+                return self._plain(parts[0], name, name, domain)
+            columns = [F.col(self._part(p, f"{name}.{p.attrs['name']}" if "name" in p.attrs else f"{name}#{k}", f"{name}#{k}", domain).name) for k, p in enumerate(parts)]
+            return None if all("name" in p.attrs for p in parts) else self.put(name, self._only(domain, F.concat(*columns)))
         lists = []
         for p in parts:
             a = p.attrs
@@ -750,8 +771,6 @@ class Run:
                 lists.append((lo, hi))
             elif a.get("type") == "template":
                 lists.append([v for v, _ in self.packs.look(a["value"], a.get("local"))])
-            elif a.get("type") in ("increment", "decrement"):
-                return self._plain(p, name, name, domain)
             elif a.get("type") == "file":
                 lists.append(files.values(self.spark, files.resolve(a["src"], self.base, self.roots)))
             else:
@@ -838,3 +857,15 @@ class Run:
         """All declared columns by their names, as text; NULL where a column does not exist for a row."""
         names = [n for n in self.info if "#" not in n]
         return self.df.select(*([ID] if keep_id else []), *[F.col(self.info[n].name).alias(n) for n in names])
+
+    def rendered(self) -> DataFrame:
+        """_id and text of each record, as the block lays it out."""
+        return sinks.rendered(self)
+
+    def typed(self) -> DataFrame:
+        """The columns as their declared or known types."""
+        return sinks.typed(self)
+
+    def write(self, path: str, single: bool = False) -> None:
+        """Parquet of checked types where the path ends in .parquet, else the block's text."""
+        sinks.write_parquet(self, path) if path.endswith(".parquet") else sinks.write_text(self, path, single)

@@ -26,6 +26,8 @@ def read(text: str) -> Node:
     root, stack, at = None, [], 0
     for m in _PART.finditer(text):
         between = text[at:m.start()]
+        if "<" in between:
+            raise ConfigError("E005", f"this is no tag: {between[between.index('<'):][:40]!r}; attributes need double quotes, and < in text is written &lt;")
         if stack:
             stack[-1].text += _plain(between)
         elif between.strip():
@@ -55,12 +57,31 @@ def read(text: str) -> Node:
     return root
 
 
-TAGS = {
+_FIXED = ("before", "after", "before_block", "after_block", "delimiter_block", "before_line", "after_line", "delimiter_line")
+TAGS = {tag: {"line", "data"} for tag in _FIXED} | {
     "tdc": {"env", "block"}, "data_set": {"env", "block"},
     "env": {"sequence", "mix", "switch", "pool", "distinct", "uniq", "assert", "before", "after", "before_block", "after_block", "delimiter_block", "before_line", "after_line", "delimiter_line"},
-    "block": {"line"}, "line": {"data", "gen"}, "pool": {"sequence", "mix", "switch", "distinct", "uniq"},
+    "block": {"line"}, "line": {"data"}, "pool": {"sequence", "mix", "switch", "distinct", "uniq"},
     "sequence": {"gen", "data", "compute", "distinct"}, "mix": {"case"}, "case": {"gen", "data", "switch", "compute"}, "switch": {"map", "case", "default"}, "default": {"gen", "data", "compute", "switch"},
 }
+#: Attributes that a tag takes.
+ATTRIBUTES = {
+    "tdc": "version v regex_max_length comment", "data_set": "version v regex_max_length comment", "env": "count seed local inject mode engine comment",
+    "sequence": "name parent uniq comment", "mix": "name parent percent flag comment", "switch": "name parent on comment", "pool": "name count comment", "case": "is anomaly percent comment", "default": "comment", "map": "comment",
+    "distinct": "of comment", "uniq": "of comment", "assert": "that says comment", "block": "comment", "line": "if each comment", "data": "name value type if pair comment",
+} | {t: "if comment" for t in ("before", "after", "before_block", "after_block", "delimiter_block", "before_line", "after_line", "delimiter_line")}
+#: Attributes that any generator takes, and those of each type.
+EVERY = "type name if comment missing missing_as anomaly anomaly_factor anomaly_flag mask case repeat separator lengths distinct accumulate"
+OF_TYPE = {
+    "text": "value percent order cycle", "number": "value percent length first_zero include exclude decimals distribution min max mean sd meanlog sdlog rate alpha xmin shape scale lambda n s beta",
+    "increment": "value step", "decrement": "value step", "symbol": "value alphabet length include exclude", "regex": "value", "advanced_regex": "value",
+    "date": "value format from to range oldest youngest precision local order cycle step weekdays of plus", "template": "value local format from to range oldest youngest precision order cycle percent",
+    "file": "src column header delimiter row weight read sample decimals order cycle percent", "timeseries": "base trend period amplitude peak_at noise decimals",
+    "pattern": "src points upper lower mode y_range fit interp spread ink_threshold decimals", "running": "of accumulate base reset", "stat": "of op decimals", "formula": "expr decimals",
+    "pool": "value filter", "http": "src in on_error timeout secret",
+}
+#: What a type can't do without: one of each group.
+NEEDS = {"text": ["value"], "symbol": ["value alphabet"], "regex": ["value"], "advanced_regex": ["value"], "template": ["value"], "file": ["src"], "pattern": ["src points upper", "y_range"], "running": ["of"], "stat": ["of", "op"], "formula": ["expr"], "pool": ["value"], "http": ["src"]}
 TYPES = {"text", "number", "increment", "decrement", "symbol", "regex", "advanced_regex", "date", "template", "file", "timeseries", "pattern", "running", "stat", "formula", "pool", "http"}
 
 
@@ -79,8 +100,18 @@ def validate(root: Node) -> list[ConfigError]:
         for c in node.children:
             if node.tag in TAGS and c.tag not in TAGS[node.tag]:
                 out.append(ConfigError("E011", f"<{c.tag}> does not belong in <{node.tag}>"))
+            if c.tag in ATTRIBUTES and (odd := c.attrs.keys() - set(ATTRIBUTES[c.tag].split())):
+                out.append(ConfigError("E018", f"<{c.tag}> takes no {', '.join(sorted(odd))}"))
+            if c.tag in ("sequence", "mix", "switch", "case", "default") and not c.children and not (c.tag in ("case", "default") and c.text):
+                out.append(ConfigError("E017", f"<{c.tag}> {c.attrs.get('name', '')} is empty"))
             if c.tag == "gen":
                 kind = c.attrs.get("type")
+                # a template may hand on parameters of its own, by any name
+                if kind in OF_TYPE and kind != "template" and (odd := c.attrs.keys() - set(f"{EVERY} {OF_TYPE[kind]}".split())):
+                    out.append(ConfigError("E018", f"a {kind} generator takes no {', '.join(sorted(odd))}"))
+                for group in NEEDS.get(kind, ()):
+                    if not set(group.split()) & c.attrs.keys():
+                        out.append(ConfigError("E019", f"a {kind} generator needs {' or '.join(group.split())}"))
                 if kind not in TYPES:
                     out.append(ConfigError("E012", f"no generator is named {kind!r}"))
                 for a in ("missing", "anomaly"):

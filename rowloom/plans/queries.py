@@ -162,11 +162,12 @@ def pool_pick(spark, d):
 
 
 @query("""WITH m AS (SELECT c_custkey, n_nationkey, row_number() OVER (PARTITION BY c_custkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN nation ON n_nationkey < c_nationkey)
-SELECT c.c_custkey, m.n_nationkey AS p_n_nationkey FROM customer c LEFT JOIN m ON m.c_custkey = c.c_custkey AND i = floor((c.c_custkey % 101 + 0.5) / 101 * n)""")
+SELECT c.c_custkey, m.n_nationkey AS p_n_nationkey FROM customer c JOIN m ON m.c_custkey = c.c_custkey AND i = floor((c.c_custkey % 101 + 0.5) / 101 * n)""")
 def pool_theta_pick(spark, d):
     u = (F.pmod(F.col("c_custkey"), F.lit(101)) + 0.5) / 101
     n = t(spark, d, "nation").select("n_nationkey")
-    return relate.pool_pick_where(t(spark, d, "customer"), n, "n_nationkey", lambda m: m["p_n_nationkey"] < F.col("c_nationkey"), u, "p_").select("c_custkey", "p_n_nationkey")
+    c = t(spark, d, "customer").where("c_nationkey > 0")
+    return relate.pool_pick_where(c, n, "n_nationkey", lambda m: m["p_n_nationkey"] < F.col("c_nationkey"), u, "p_").select("c_custkey", "p_n_nationkey")
 
 
 # --- statistics and running values -----------------------------------------------

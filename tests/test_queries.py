@@ -1,7 +1,7 @@
 """Each query against its SQL in another engine."""
 import pytest
 
-from rowloom.plans import queries
+from rowloom.plans import described, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -1,6 +1,7 @@
 """Descriptions: the same rows on any number of partitions, exact shares, relations, lists, checks."""
 import pytest
 
+from rowloom.plans import sinks
 from rowloom.plans.build import Run
 from rowloom.plans.config import ConfigError
 from rowloom.sources import files
@@ -113,6 +114,8 @@ def test_distinct_redraws_until_a_value_is_left(spark):
 
 @pytest.mark.parametrize("body,code", [
     (seq("A", '<gen type="nothing"/>'), "E012"), (seq("_A", '<gen type="increment"/>'), "E014"), (seq("A", '<gen type="increment"/>') * 2, "E015"), (seq("A", '<gen type="increment"/>', ' parent="B.x"'), "E016"),
+    (seq("A", "<gen type='text' value=\"a\"/>"), "E005"), (seq("A", '<gen type="text" value="a,b" percnt="90,10"/>'), "E018"), ('<sequence name="A"></sequence>', "E017"), (seq("A", '<gen type="text"/>'), "E019"),
+    (seq("A", '<gen type="text" name="X" value="a,b" percent="90,10"/><gen type="number" name="Y" value="1..99"/>', ' uniq="true"'), "E083"), (seq("A", '<gen type="number" value="1..99" missing="0.5"/>', ' uniq="true"'), "E083"),
     (seq("A", '<gen type="number" value="1..9" missing="2"/>'), "E030"), (seq("A", '<gen type="number" value="1..3"/>', ' uniq="true"'), "E080"),
 ])
 def test_refusals(spark, body, code):
@@ -124,3 +127,44 @@ def test_refusals(spark, body, code):
 def test_assert_stops_the_run(spark):
     with pytest.raises(AssertionError, match="too many"):
         rows(spark, seq("N", '<gen type="number" value="1..9"/>') + seq("S", '<gen type="stat" of="N" op="count"/>') + '<assert that="S &lt; 5" says="too many"/>')
+
+
+@pytest.mark.parametrize("kind,text", [
+    ("int32", "2147483648"), ("uint8", "-1"), ("int64", "1.0"), ("float", "1e39"), ("float16", "65520"), ("double", "inf"), ("bool", "yes"), ("decimal(5,2)", "1.234"), ("decimal(5,2)", "1234.5"), ("date", "2023-02-29"), ("timestamp", "noon"), ("uuid", "12"), ("int32", ""),
+])
+def test_what_a_type_cannot_hold_stops_the_run(spark, kind, text):
+    df = spark.createDataFrame([(text,)], "v string")
+    with pytest.raises(Exception, match="v: "):
+        df.select(sinks.checked(df.v, sinks.parse_type(kind), "v")).collect()
+
+
+@pytest.mark.parametrize("text", ["int", "[]", "decimal", "decimal(19,2)", "int32(1,2)", "int32|none"])
+def test_types_that_are_none(text):
+    with pytest.raises(ConfigError, match="E075"):
+        sinks.parse_type(text)
+
+
+def test_pool_without_an_allowed_member_stops_the_run(spark):
+    body = '<pool name="P" count="3">' + seq("A", '<gen type="increment" value="5"/>') + "</pool>" + seq("N", '<gen type="increment" value="1"/>') + seq("X", '<gen type="pool" value="P" filter="A &lt; N"/>')
+    with pytest.raises(Exception, match="no member"):
+        rows(spark, body, 3)
+
+
+def test_formula_to_no_number_stops_the_run(spark):
+    with pytest.raises(Exception, match="no number|DIVIDE_BY_ZERO"):
+        rows(spark, seq("N", '<gen type="text" value="0"/>') + seq("F", '<gen type="formula" expr="1 / N"/>'), 2)
+
+
+def test_text_keeps_the_order_of_rows_after_a_shuffle(spark, tmp_path):
+    body = seq("Id", '<gen type="increment" value="1"/>') + seq("G", '<gen type="text" value="a,b"/>') + seq("R", '<gen type="running" of="Id" reset="G"/>')
+    r = Run(spark, f'<tdc><env count="300" seed="s">{body}</env><block><line><data>${{{{Id}}}} ${{{{R}}}}</data></line></block></tdc>')
+    r.write(str(tmp_path / "out.txt"), single=True)
+    assert [x.split()[0] for x in (tmp_path / "out.txt").read_text().splitlines()] == [str(i + 1) for i in range(300)]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.txt"]
+
+
+def test_a_run_without_a_seed_invents_one(spark):
+    text = '<tdc><env count="20">' + seq("N", '<gen type="number" value="1..1000000"/>') + "</env></tdc>"
+    a, b = Run(spark, text), Run(spark, text)
+    assert a.seed != b.seed and a.table().collect() != b.table().collect()
+    assert Run(spark, text, seed=a.seed).table().collect() == a.table().collect()
