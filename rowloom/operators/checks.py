@@ -1,6 +1,7 @@
 """Statistics of whole columns, uniqueness, imperfections and checks of a run."""
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -51,21 +52,28 @@ def anomaly_flag(c: Column, u: Column, share: float, missing_u: Column | None =
     return hit & ~(missing_u < missing_share) if missing_u is not None else hit
 
 
-def combinations(row: Column, sizes: list[int], n: int, seed: str, stream: str) -> list[Column]:
-    """One place for each field, no two rows the same: the digits of a permuted number. n rows at most the product of sizes."""
-    space = 1
-    for s in sizes:
-        space *= s
+def space_of(sizes: list[int], n: int) -> int:
+    """How many combinations there are; an error where n rows need more."""
+    space = math.prod(sizes)
     if n > space:
         raise ValueError(f"{n} rows need distinct combinations; only {space} exist")
-    x = rng.slot(seed, stream, space, row)
-    out = []
+    return space
+
+
+def digits(x: Column, sizes: list[int]) -> list[Column]:
+    """One place for each field from a number below their product."""
+    out, base = [], 1
     for s in sizes:
-        out.append(F.pmod(x, F.lit(s)))
-        x = F.floor(x / F.lit(s)).cast("long")
+        out.append(F.pmod(F.floor(x / F.lit(base)).cast("long") if base > 1 else x, F.lit(s)))
+        base *= s
     return out
 
 
+def combinations(row: Column, sizes: list[int], n: int, seed: str, stream: str) -> list[Column]:
+    """One place for each field, no two rows the same: the digits of a permuted number. n rows at most the product of sizes."""
+    return digits(rng.slot(seed, stream, space_of(sizes, n), row), sizes)
+
+
 def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     """The combinations that occur on more rows than one."""
     return df.groupBy(*columns).count().where("count > 1")

@@ -777,11 +777,13 @@ class Run:
                 raise ConfigError("E081", f"uniq can't be promised for {a.get('type')}")
         sizes = [x[1] - x[0] + 1 if isinstance(x, tuple) else len(x) for x in lists]
         try:
-            places = checks.combinations(domain.rank, sizes, domain.n, self.seed, name)
+            space = checks.space_of(sizes, domain.n)
         except ValueError as e:
             raise ConfigError("E080", str(e)) from e
-        columns = []
-        for p, x, place in zip(parts, lists, places):
+        # a column of its own, so that it is computed once a row and not once a field
+        number, columns = self.fresh(), []
+        self.df = self.df.withColumn(number, self._only(domain, rng.slot(self.seed, name, space, domain.rank)))
+        for p, x, place in zip(parts, lists, checks.digits(F.col(number), sizes)):
             c = (place + x[0]).cast("string") if isinstance(x, tuple) else F.element_at(F.array(*[F.lit(v) for v in x]), (place + 1).cast("int"))
             if "name" in p.attrs:
                 self.put(f"{name}.{p.attrs['name']}", self._only(domain, c))

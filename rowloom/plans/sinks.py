@@ -40,6 +40,12 @@ def _lanes(run) -> tuple[dict[str, int], int]:
     return lanes, stride
 
 
+def _plain(run, node: Node) -> Column:
+    """The text of a <line> without each=, with its line break; empty where its condition does not hold."""
+    c = F.concat(_data(run, node), F.lit("\n"))
+    return F.when(run.truth(node.attrs["if"]), c).otherwise("") if "if" in node.attrs else c
+
+
 def _line(run, node: Node) -> Column:
     """The output lines of a <line>, as an array: none where its condition does not hold, one for each element with each=."""
     name = node.attrs.get("each", "").strip()
@@ -64,24 +70,40 @@ def _fixed(run, tag: str) -> Column:
     """The lines of a fixture, interpolated with the row's values."""
     nodes = [c for c in run.env.children if c.tag == tag]
     lines = [x for n in nodes for x in ([c for c in n.children if c.tag == "line"] or [n])]
-    arrays = [_line(run, x) for x in lines]
-    return F.array_join(F.concat(*arrays), "") if arrays else F.lit("")
+    return F.concat(*[_plain(run, x) for x in lines]) if lines else F.lit("")
 
 
-def record(run) -> Column:
-    """The whole text of a row: delimiters stand between the lines and records that are left, the header before the first, the footer after the last."""
+def _block(run) -> list[Node]:
     block = next((c for c in run.root.children if c.tag == "block"), None)
     if block is None:
         raise ConfigError("E043", "there is no <block> to lay out")
-    lines = F.concat(*[_line(run, x) for x in block.children if x.tag == "line"] or [F.expr("cast(array() as array<string>)")])
-    before, after, between = (_fixed(run, t) for t in ("before_line", "after_line", "delimiter_line"))
-    body = F.array_join(F.transform(lines, lambda x: F.concat(before, x, after)), "\0")
-    body = F.replace(body, F.lit("\0"), between)
+    return [x for x in block.children if x.tag == "line"]
+
+
+def record(run) -> Column:
+    """The whole text of a row: delimiters stand between the lines and records that are left, the header before the first, the footer after the last."""
+    nodes, has = _block(run), {c.tag for c in run.env.children}
+    if not nodes:
+        body = F.lit("")
+    elif has & {"before_line", "after_line", "delimiter_line"}:
+        before, after, between = (_fixed(run, t) for t in ("before_line", "after_line", "delimiter_line"))
+        body = F.array_join(F.transform(F.concat(*[_line(run, x) for x in nodes]), lambda x: F.concat(before, x, after)), "\0")
+        body = F.replace(body, F.lit("\0"), between)
+    else:
+        body = F.concat(*[F.array_join(_line(run, x), "") if "each" in x.attrs else _plain(run, x) for x in nodes])
     first, last = F.col("_id") == 0, F.col("_id") == run.count - 1
-    return F.concat(
-        F.when(first, _fixed(run, "before")).otherwise(""), _fixed(run, "before_block"), body, _fixed(run, "after_block"),
-        F.when(last, F.lit("")).otherwise(_fixed(run, "delimiter_block")), F.when(last, _fixed(run, "after")).otherwise(""),
-    )
+    parts = [body]
+    if "before_block" in has:
+        parts.insert(0, _fixed(run, "before_block"))
+    if "before" in has:
+        parts.insert(0, F.when(first, _fixed(run, "before")).otherwise(""))
+    if "after_block" in has:
+        parts.append(_fixed(run, "after_block"))
+    if "delimiter_block" in has:
+        parts.append(F.when(last, "").otherwise(_fixed(run, "delimiter_block")))
+    if "after" in has:
+        parts.append(F.when(last, _fixed(run, "after")).otherwise(""))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def rendered(run) -> DataFrame:
@@ -94,9 +116,11 @@ def write_text(run, path: str, single: bool = False) -> None:
     out = rendered(run)
     if re.search(r"(?<!Broadcast)Exchange", out._jdf.queryExecution().executedPlan().toString()):
         out = out.repartitionByRange("_id").sortWithinPartitions("_id")
-    # a record ends with a line break, which the writer adds; a record without a line is no row
+    if all(x.attrs.keys() & {"if", "each"} for x in _block(run)):  # a record may have no line; explode, so that texts are made once
+        out = out.select(F.explode(F.expr("if(text <> '', array(text), null)")).alias("text"))
+    # a record ends with a line break, which the writer adds
     folder = path + ".parts" if single else path
-    out.where("text <> ''").select(F.expr("substring(text, 1, length(text) - 1)").alias("value")).write.mode("overwrite").text(folder)
+    out.select(F.expr("substring(text, 1, length(text) - 1)").alias("value")).write.mode("overwrite").text(folder)
     if single:
         _joined(run.spark, folder, path)
 
