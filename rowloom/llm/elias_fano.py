@@ -32,8 +32,20 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits = np.zeros(-(-size // 64) * 64, np.uint8)
     bits[high + np.arange(n)] = 1
     words = np.packbits(bits, bitorder="little").view(np.uint64)
-    rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))]).astype(np.uint32 if n < 1 << 32 else np.uint64)
-    return {"low": low, "words": words, "rank": rank, "meta": np.array([n, l], np.int64)}
+    rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+    zeros = np.arange(len(rank), dtype=np.int64) * 64 - rank
+    narrow = np.uint32 if len(words) < 1 << 26 else np.uint64
+    return {"low": low, "words": words, "ones": rank.astype(narrow), "zeros": zeros.astype(narrow), "meta": np.array([n, l], np.int64)}
+
+
+def relative(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Values that rise within each range [bounds[i], bounds[i + 1]) but not across them, made to: each is added to the last before its range."""
+    if not len(values):
+        return values.astype(np.uint64)
+    some = bounds[:-1][bounds[1:] > bounds[:-1]]
+    ends = np.append(some[1:], len(values)) - 1
+    base = np.concatenate([[0], np.cumsum(values[ends].astype(np.uint64))[:-1]]).astype(np.uint64)
+    return values.astype(np.uint64) + np.repeat(base, np.diff(np.append(some, len(values))))
 
 
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -54,8 +66,7 @@ class EliasFano:
         low = arrays["low"]
         self.low8 = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))
         self.words = arrays["words"]
-        self.ones = arrays["rank"].astype(np.int64)
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.ones, self.zeros = arrays["ones"], arrays["zeros"]
         self.mask = np.uint64((1 << self.l) - 1)
 
     def low(self, i: np.ndarray) -> np.ndarray:
@@ -64,14 +75,31 @@ class EliasFano:
 
     def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
         rank = self.ones if ones else self.zeros
-        w = np.searchsorted(rank, i, "right") - 1
+        w = np.searchsorted(rank, i.astype(rank.dtype), "right") - 1  # of one type, else the mapped array would be copied
         word = self.words[w]
-        return w * 64 + _in_word(word if ones else ~word, i - rank[w])
+        return w * 64 + _in_word(word if ones else ~word, i - rank[w].astype(np.int64))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, True) - i).astype(np.uint64)
         return ((high << np.uint64(self.l)) | self.low(i)).astype(np.int64)
 
+    def within(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """find() of values relative to their ranges [lo, hi), as relative() made them; an empty range holds none."""
+        base = np.zeros(len(lo), np.int64)
+        later = lo > 0
+        if later.any():
+            base[later] = self[lo[later] - 1]
+        # past the last of all values there is no bucket to look in
+        at = np.full(len(value), -1, np.int64)
+        want = value.astype(np.int64) + base
+        some = np.flatnonzero((lo < hi) & (want <= self.last))
+        at[some] = self.find(want[some].astype(np.uint64), lo[some], hi[some])
+        return at
+
+    @property
+    def last(self) -> int:
+        return int(self[np.array([self.n - 1])][0]) if self.n else -1
+
     def find(self, value: np.ndarray, lo=None, hi=None) -> np.ndarray:
         """The place of each value (uint64), in [lo, hi) if given, or -1: a search for its successor by low bits among those of its high bits."""
         if not self.n or not len(value):
@@ -127,7 +155,7 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
 
 
 def part(arrays: dict[str, np.ndarray], prefix: str) -> EliasFano:
-    return EliasFano({k: arrays[f"{prefix}.{k}"] for k in ("low", "words", "rank", "meta")})
+    return EliasFano({k: arrays[f"{prefix}.{k}"] for k in ("low", "words", "ones", "zeros", "meta")})
 
 
 def prefixed(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

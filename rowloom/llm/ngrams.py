@@ -1,19 +1,24 @@
-"""Language-model scores from a trie of words and their successors in Elias-Fano form.
-
-The model is a bigram model with absolute discounts, interpolated with words, in which
-words never seen share one class: P(w) = (c - d) / N, P(unseen) = d V / N with d from the
-counts of counts, and P(w | v) = max(c(vw) - DISCOUNT, 0) / c(v) + DISCOUNT n(v) / c(v) P(w),
-n(v) the distinct successors of v. Each text begins after a start and ends with an end.
-
-It is built in two passes without a global sort or a driver-side table. Tasks count what
-they scan and send sorted, delta-coded blocks to shards, by hash of the (context) word. A
-shard writes its part of two levels to the shared folder: words by hash, with counts; and
-pointers into successors, with 16-bit quantised probabilities. Scoring maps these files and
-searches the successor within the context's range; pages are read as queries touch them. Word ids follow
-the order of hashes, so a shard holds a run of ids. Words are told apart by 64-bit hashes.
-
-A shard holds about SHARD bytes of text; shards number 4,096 at most, so that tasks times
-shards stays bounded. The driver gets one row of sums for each shard.
+"""Language-model scores from a trie of words, pairs and triples in Elias-Fano form.
+
+The model is a trigram model with absolute discounts, each order interpolated with the one
+below, in which words never seen share one class: P(w) = (c - d) / N, P(unseen) = d V / N with
+d from the counts of counts; P(w | v) = max(c(vw) - D, 0) / c(v) + D n(v) / c(v) P(w), with n(v)
+the distinct successors of v and D = DISCOUNT; and P(w | uv) from c(uvw), c(uv), n(uv) and
+P(w | v) likewise. A context never seen hands on the lower order. Each text begins after a
+start and ends with an end; its first token has the start alone as context.
+
+It is built in three passes without a global sort or a driver-side table. Tasks count what
+they scan and send sorted, delta-coded blocks to shards, by hash of the first word. A shard
+writes its part of the levels to the shared folder: words by hash, with counts; the
+successors of each word; and the successors of each pair, not by id but by their place among
+the successors of the pair's second word, which is what stays small. Ranges are delimited by
+monotone pointers, ranges' values made to rise across them, probabilities and back-off weights
+quantised to 16 bits. Scoring maps these files and searches the successor within the context's
+range; pages are read as queries touch them. Word ids follow the order of hashes, so a shard
+holds a run of ids. Words are told apart by 64-bit hashes.
+
+A shard holds about SHARD bytes of text; shards number 2^MOST at most, beyond which they grow, so
+that tasks times shards stays bounded. The driver gets one row of sums for each shard.
 
 Defined cases: null or empty text is the end alone; without training rows each score is 0;
 rows that repeat an id are separate texts; a null id's checksum is that of the empty text. Other columns are ignored.
@@ -21,6 +26,7 @@ rows that repeat an id are separate texts; a null id's checksum is that of the e
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +42,14 @@ from ._shared import new_folder
 START, END = np.uint64(0xA5B35705F1C3D2E9), np.uint64(0x3C79AC492BA7B653)
 DISCOUNT = 0.75
 SHARD = 32 << 20
+#: Bits of the number of shards, at most.
+MOST = 16
+#: Shards whose levels a worker keeps mapped.
+MAPPED = 8_000
 #: Distinct entries that a task holds before it sends them.
 HELD = 3_000_000
 #: Bytes of text that are scored together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Logarithms from -DEEPEST to 0 are kept in 65,535 steps.
 DEEPEST = 12.0
 
@@ -83,6 +93,7 @@ def _unblock(raw: bytes):
 
 
 BLOCK = "shard int, block binary"
+LEVEL = "shard long, keys long, most long"
 
 
 def _send(keys, counts, shard_of):
@@ -114,11 +125,16 @@ def _count(keys_of, shard_of):
 
 
 def _gathered(batches):
-    """For each shard of a partition its keys and counts."""
+    """For each shard of a partition its keys and counts; equal keys are put together as blocks come."""
     got: dict[int, list] = {}
+    size: dict[int, int] = {}
     for batch in batches:
         for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             got.setdefault(s, []).append(_unblock(b))
+            size[s] = size.get(s, 0) + len(got[s][-1][0])
+            if size[s] > HELD and size[s] > 2 * len(got[s][0][0]):
+                got[s] = [_counted(*map(np.concatenate, zip(*got[s], strict=True)))]
+                size[s] = len(got[s][0][0])
     for s in sorted(got):
         yield s, *_counted(*map(np.concatenate, zip(*got.pop(s), strict=True)))
 
@@ -142,36 +158,50 @@ def _write_words(folder: str, bits: int):
     return run
 
 
-def _write_successors(folder: str, base: np.ndarray):
-    total = int(base[-1])
+def _steps(log: np.ndarray) -> np.ndarray:
+    """Logarithms from -DEEPEST to 0 in 16 bits."""
+    return np.round(np.clip(-log / DEEPEST, 0, 1) * 65535).astype(np.uint16)
+
+
+def _level(group: np.ndarray, value: np.ndarray, counts: np.ndarray, groups: int) -> dict[str, np.ndarray]:
+    """A level of keys sorted by group and value: pointers by group, values relative to their group's, discounted shares, and the groups' back-off weights."""
+    pointers = np.searchsorted(group, np.arange(groups + 1))
+    sums = np.bincount(group, weights=counts, minlength=groups)
+    rising = ef.relative(value, pointers)
+    arrays = ef.prefixed("pointers", ef.encode(pointers, len(group) + 1))
+    arrays |= ef.prefixed("next", ef.encode(rising, int(rising[-1]) + 1 if len(rising) else 1))
+    arrays["p"] = _steps(np.log10((counts - DISCOUNT) / sums[group]))
+    n = np.diff(pointers)
+    arrays["backoff"] = _steps(np.log10(np.where(n > 0, DISCOUNT * n / np.maximum(sums, 1), 1.0)))
+    return arrays
+
+
+def _write_level(kind: str, folder: str, base: np.ndarray, shift: int):
+    """Writes a shard's level of keys whose bits from `shift` on are the context's number, less base of the shard, and those below the successor."""
 
     def run(batches):
         for s, keys, counts in _gathered(batches):
-            first, ids = int(base[s]), int(base[s + 1] - base[s])
-            v = (keys >> np.uint64(32)).astype(np.int64) - first
-            w = keys & np.uint64(0xFFFFFFFF)
-            pointers = np.searchsorted(v, np.arange(ids + 1))
-            sums = np.bincount(v, weights=counts, minlength=ids)
-            log = np.log10((counts - DISCOUNT) / sums[v])
-            arrays = ef.prefixed("pointers", ef.encode(pointers, len(keys) + 1))
-            arrays |= ef.prefixed("next", ef.encode(v.astype(np.uint64) * np.uint64(total) + w, ids * total))
-            arrays["p"] = np.round(np.clip(-log / DEEPEST, 0, 1) * 65535).astype(np.uint16)
-            ef.save(folder, f"next-{s}", arrays, _attempt())
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([len(keys)], pa.int64())], names=["shard", "pairs"])
+            group = (keys >> np.uint64(shift)).astype(np.int64) - int(base[s])
+            arrays = _level(group, keys & np.uint64((1 << shift) - 1), counts, int(base[s + 1] - base[s]))
+            ef.save(folder, f"{kind}-{s}", arrays, _attempt())
+            most = int(np.bincount(group).max()) if len(group) else 0
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (s, len(keys), most)], names=["shard", "keys", "most"])
 
     return run
 
 
 class Model:
-    """Where the files are, and the sums that the probabilities need."""
+    """Where the files are, and the sums that the probabilities need. base: ids, and pairs: numbers of pairs, before each shard."""
 
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits = folder, bits
         self.base = np.zeros((1 << bits) + 1, np.int64)
+        self.pairs = np.zeros((1 << bits) + 1, np.int64)
         self.v = self.n = self.n1 = self.n2 = 0
-        self.pairs: set[int] = set()
+        self.shift = 0
+        self.triples: set[int] = set()
 
-    def learn(self, rows):
+    def learn_words(self, rows):
         ids = np.zeros(1 << self.bits, np.int64)
         for r in rows:
             ids[r.shard] = r.ids
@@ -181,6 +211,17 @@ class Model:
             raise ValueError("the vocabulary has 2^32 words or more")
         self.d = min(0.95, max(0.05, self.n1 / max(1, self.n1 + 2 * self.n2)))
 
+    def learn_pairs(self, rows):
+        keys = np.zeros(1 << self.bits, np.int64)
+        most = 0
+        for r in rows:
+            keys[r.shard], most = r.keys, max(most, r.most)
+        self.pairs = np.concatenate([[0], np.cumsum(keys)])
+        #: bits of a place among successors; the number of a pair takes those above
+        self.shift = max(1, most.bit_length())
+        if int(self.pairs[-1]).bit_length() + self.shift > 64:
+            raise ValueError("pairs and successors are too many for 64 bits")
+
     def reader(self) -> Reader:
         """One for a worker and model, so that its tasks share the mapped levels."""
         for other in [k for k in _readers if k != self.folder]:
@@ -191,22 +232,24 @@ class Model:
 
 
 class Reader:
-    """Lookups in mapped levels; each level is opened when first asked for."""
+    """Lookups in mapped levels; a level is opened when first asked for, the longest unused is closed."""
 
     def __init__(self, model: Model):
-        self.m, self.words, self.next = model, {}, {}
+        self.m, self.open = model, OrderedDict()
+
+    def _get(self, name: str, make):
+        if name not in self.open:
+            self.open[name] = make(ef.load(self.m.folder, name))
+            if len(self.open) > MAPPED:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
+        return self.open[name]
 
     def _words(self, s: int):
-        if s not in self.words:
-            a = ef.load(self.m.folder, f"words-{s}")
-            self.words[s] = ef.part(a, "words"), a["counts"]
-        return self.words[s]
+        return self._get(f"words-{s}", lambda a: (ef.part(a, "words"), a["counts"]))
 
-    def _next(self, s: int):
-        if s not in self.next:
-            a = ef.load(self.m.folder, f"next-{s}")
-            self.next[s] = ef.part(a, "pointers"), ef.part(a, "next"), a["p"]
-        return self.next[s]
+    def _level(self, kind: str, s: int):
+        return self._get(f"{kind}-{s}", lambda a: (ef.part(a, "pointers"), ef.part(a, "next"), a["p"], a["backoff"]))
 
     def ids(self, hashes: np.ndarray):
         """Ids (-1: unseen) and counts of rising hashes."""
@@ -224,37 +267,88 @@ class Reader:
             counts[i[ok]] = c[at[ok]]
         return ids, counts
 
-    def after(self, keys: np.ndarray):
-        """For rising (context id, word id) keys, as one number each: the discounted share of the pair (0 if unseen), and the context's distinct successors."""
-        share, distinct = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        v = (keys >> np.uint64(32)).astype(np.int64)
-        total = np.uint64(self.m.base[-1])
-        shard = np.searchsorted(self.m.base, v, "right") - 1
-        for s in np.unique(shard):
-            if int(s) not in self.m.pairs:
+    def _after(self, kind: str, base: np.ndarray, context: np.ndarray, value: np.ndarray):
+        """For contexts in rising order and successors relative to them: the discounted share (0 if unseen), the context's back-off weight (1 if it has no successor), the successor's number in the level (-1 if unseen) and its place among the context's."""
+        share, backoff = np.zeros(len(context)), np.ones(len(context))
+        number, place = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
+        shard = np.searchsorted(base, context, "right") - 1
+        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
+        for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+            s = int(shard[a])
+            if kind == "triples" and s not in self.m.triples or kind == "pairs" and self.m.pairs[s + 1] == self.m.pairs[s]:
                 continue
-            i = np.flatnonzero(shard == s)
-            pointers, following, p = self._next(int(s))
-            local = v[i] - self.m.base[s]
+            pointers, following, p, weights = self._level(kind, s)
+            local = context[a:b] - base[s]
             lo, hi = pointers[local], pointers[local + 1]
-            at = following.find(local.astype(np.uint64) * total + (keys[i] & np.uint64(0xFFFFFFFF)), lo, hi)
+            at = following.within(value[a:b], lo, hi)
             ok = at >= 0
-            share[i[ok]] = 10.0 ** (-p[at[ok]].astype(float) / 65535 * DEEPEST)
-            distinct[i] = hi - lo
-        return share, distinct
+            share[a:b][ok] = 10.0 ** (-p[at[ok]].astype(float) / 65535 * DEEPEST)
+            some = hi > lo
+            backoff[a:b][some] = 10.0 ** (-weights[local[some]].astype(float) / 65535 * DEEPEST)
+            number[a:b][ok] = at[ok] + (self.m.pairs[s] if kind == "pairs" else 0)
+            place[a:b][ok] = at[ok] - lo[ok]
+        return share, backoff, number, place
+
+    def pairs(self, v: np.ndarray, w: np.ndarray):
+        """_after() of the words w (ids, -1: unseen) after v, for each occurrence."""
+        n = len(v)
+        out = np.zeros(n), np.ones(n), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        some = np.flatnonzero(v >= 0)
+        # a word never seen has no id; it is asked for past all of them, for the context's sake
+        keys = (v[some].astype(np.uint64) << np.uint64(32)) | np.where(w[some] < 0, 0xFFFFFFFF, w[some]).astype(np.uint64)
+        keys, back = np.unique(keys, return_inverse=True)
+        got = self._after("pairs", self.m.base, (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF))
+        for x, y in zip(out, got, strict=True):
+            x[some] = y[back]
+        return out
+
+    def triples(self, pair: np.ndarray, place: np.ndarray):
+        """_after() of the successors at `place` (-1: unseen) after pairs by number (-1: none), for each occurrence."""
+        n = len(pair)
+        share, backoff = np.zeros(n), np.ones(n)
+        some = np.flatnonzero(pair >= 0)
+        top = (1 << self.m.shift) - 1  # no place is so high
+        keys = (pair[some].astype(np.uint64) << np.uint64(self.m.shift)) | np.where(place[some] < 0, top, place[some]).astype(np.uint64)
+        keys, back = np.unique(keys, return_inverse=True)
+        got = self._after("triples", self.m.pairs, (keys >> np.uint64(self.m.shift)).astype(np.int64), keys & np.uint64(top))
+        share[some], backoff[some] = got[0][back], got[1][back]
+        return share, backoff
 
 
 _readers: dict[str, Reader] = {}
 
 
+def _read(reader: Reader, data: np.ndarray, off: np.ndarray):
+    """Tokens of a chunk with their contexts: bounds of documents, ids, counts, the id and count of the word before."""
+    tok, at = _tokens(data, off)
+    names, inverse = np.unique(np.concatenate([tok, [START]]), return_inverse=True)
+    ids, counts = reader.ids(names)
+    w, c = ids[inverse], counts[inverse]
+    v = _before(w[:-1], at)
+    v[at[:-1]] = w[-1]
+    return at, w[:-1], c[:-1], v
+
+
+def _pair_before(number: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each token the number of the pair that ends just before it; -1 for a document's first."""
+    out = np.full(len(number), -1, np.int64)
+    out[1:] = number[:-1]
+    out[at[:-1]] = -1
+    return out
+
+
 def train(docs: DataFrame, folder: str | None = None) -> Model:
     """A model of docs(text), its levels in the folder (in the shared one unless told)."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ngrams")
     docs = docs.select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(12, max(0, (size // SHARD).bit_length()))
+    bits = min(MOST, max(0, (size // SHARD).bit_length()))
     model = Model(folder, bits)
+    with_key = docs.select(F.lit(0).alias("doc_id"), "text")
+
+    def sent(look, shard_of):
+        return with_key.mapInArrow(_count(look, shard_of), BLOCK).repartitionById(1 << bits, F.col("shard"))
 
     def words():
         def look(data, off):
@@ -263,30 +357,37 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
 
         return look
 
-    with_key = docs.select(F.lit(0).alias("doc_id"), "text")
     by_hash = (lambda k: (k >> np.uint64(64 - bits)).astype(np.int64)) if bits else (lambda k: np.zeros(len(k), np.int64))
-    sent = with_key.mapInArrow(_count(words, by_hash), BLOCK).repartitionById(1 << bits, F.col("shard"))
-    model.learn(sent.mapInArrow(_write_words(folder, bits), "shard long, ids long, v long, n long, n1 long, n2 long").collect())
+    model.learn_words(sent(words, by_hash).mapInArrow(_write_words(folder, bits), "shard long, ids long, v long, n long, n1 long, n2 long").collect())
 
     def pairs():
         reader = model.reader()
 
         def look(data, off):
-            tok, at = _tokens(data, off)
-            names, inverse = np.unique(np.concatenate([tok, [START]]), return_inverse=True)
-            ids, _ = reader.ids(names)
-            of = ids[inverse]
-            w = of[:-1]
-            v = _before(w.astype(np.int64), at)
-            v[at[:-1]] = of[-1]
+            _, w, _, v = _read(reader, data, off)
             return (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
 
         return look
 
     base = model.base
-    by_context = lambda k: np.searchsorted(base, (k >> np.uint64(32)).astype(np.int64), "right") - 1
-    sent = with_key.mapInArrow(_count(pairs, by_context), BLOCK).repartitionById(1 << bits, F.col("shard"))
-    model.pairs = {r.shard for r in sent.mapInArrow(_write_successors(folder, base), "shard long, pairs long").collect()}
+    by_word = lambda k: np.searchsorted(base, (k >> np.uint64(32)).astype(np.int64), "right") - 1
+    model.learn_pairs(sent(pairs, by_word).mapInArrow(_write_level("pairs", folder, base, 32), LEVEL).collect())
+
+    def triples():
+        reader = model.reader()
+
+        def look(data, off):
+            at, w, _, v = _read(reader, data, off)
+            _, _, number, place = reader.pairs(v, w)
+            before = _pair_before(number, at)
+            some = np.flatnonzero(before >= 0)
+            return (before[some].astype(np.uint64) << np.uint64(model.shift)) | place[some].astype(np.uint64)
+
+        return look
+
+    numbers, shift = model.pairs, model.shift
+    by_pair = lambda k: np.searchsorted(numbers, (k >> np.uint64(shift)).astype(np.int64), "right") - 1
+    model.triples = {r.shard for r in sent(triples, by_pair).mapInArrow(_write_level("triples", folder, numbers, shift), LEVEL).collect()}
     return model
 
 
@@ -296,34 +397,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         reader = model.reader()
         for batch, first, end, data, off in X.text_batches(batches, TOGETHER):
-            tok, at = _tokens(data, off)
             docs_ = end - first
+            at, w, c, v = _read(reader, data, off)
             doc = np.repeat(np.arange(docs_), np.diff(at))
-            names, inverse = np.unique(np.concatenate([tok, [START]]), return_inverse=True)
-            ids, counts = reader.ids(names)
-            of, c = ids[inverse], counts[inverse][:-1]
-            w = of[:-1]
-            v = _before(w.astype(np.int64), at)
-            v[at[:-1]] = of[-1]
             n, size = model.n, model.v
             base = np.log10((c + 0.1) / (n + 0.1 * (size + 1)))
             if n:
-                one = np.where(c > 0, (c - model.d) / n, model.d * size / n)
-                count_v = np.concatenate([[0], c[:-1]])
-                count_v[at[:-1]] = counts[inverse][-1]
-                keys = (np.maximum(v, 0).astype(np.uint64) << np.uint64(32)) | np.maximum(w, 0).astype(np.uint64)
-                some = np.flatnonzero(v >= 0)
-                distinct_keys, back = np.unique(keys[some], return_inverse=True)
-                share, distinct = reader.after(distinct_keys)
-                p = one.copy()
-                known = w[some] >= 0
-                cv = np.maximum(1, count_v[some])
-                p[some] = np.where(known, share[back], 0.0) + DISCOUNT * distinct[back] / cv * one[some]
-                ok = distinct[back] > 0
-                p[some[~ok]] = one[some[~ok]]
-                log = np.log10(p)
+                p = np.where(c > 0, (c - model.d) / n, model.d * size / n)
+                share, backoff, number, place = reader.pairs(v, w)
+                p = share + backoff * p
+                share, backoff = reader.triples(_pair_before(number, at), place)
+                log = np.log10(share + backoff * p)
             else:
-                log = np.zeros(len(tok))
+                log = np.zeros(len(w))
             total = lambda x: np.bincount(doc, weights=x, minlength=docs_)
             ids_ = batch.column(0).slice(first, docs_).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids_, pa.array(np.diff(at), pa.int64()), pa.array(total(c > 0).astype(np.int64)), pa.array(total(base)), pa.array(total(log))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])

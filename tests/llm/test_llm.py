@@ -314,21 +314,42 @@ def test_elias_fano(values, gap):
     assert (e.find(other) == -1).all()
 
 
-def test_language_model(spark):
+@given(st.lists(st.lists(st.integers(0, 10**6), max_size=12, unique=True).map(sorted), min_size=1, max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_elias_fano_by_ranges(groups):
+    flat = np.array([x for g in groups for x in g], np.uint64)
+    bounds = np.cumsum([0, *map(len, groups)])
+    rising = elias_fano.relative(flat, bounds)
+    e = elias_fano.EliasFano(elias_fano.encode(rising, int(rising[-1]) + 1 if len(rising) else 1))
+    for g, lo, hi in zip(groups, bounds[:-1], bounds[1:]):
+        asked = sorted({*g, *(x + 1 for x in g), 0, 2**32 - 1})
+        want = [int(lo) + g.index(x) if x in g else -1 for x in asked]
+        assert e.within(np.array(asked, np.uint64), np.full(len(asked), lo), np.full(len(asked), hi)).tolist() == want
+
+
+@pytest.mark.parametrize("shard", [1 << 30, 700])
+def test_language_model(spark, monkeypatch, shard):
+    monkeypatch.setattr(ngrams, "SHARD", shard)
     values = texts(80, 6)
     docs = frame(spark, values).cache()
     train = {r.doc_id for r in docs.where(fold(10) != 0).collect()}
     words = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x] + ["</s>"]
-    count, pair, after = {}, {}, {}
+    count, pair, after, triple, after2, pairs2 = {}, {}, {}, {}, {}, {}
     for i in train:
-        before = "<s>"
+        before = ["<s>"]
         count["<s>"] = count.get("<s>", 0) + 1
         for w in words(values[i]):
             count[w] = count.get(w, 0) + 1
-            pair[before, w] = pair.get((before, w), 0) + 1
-            before = w
+            pair[before[-1], w] = pair.get((before[-1], w), 0) + 1
+            if len(before) > 1:
+                k = (*before[-2:], w)
+                triple[k] = triple.get(k, 0) + 1
+                pairs2[k[:2]] = pairs2.get(k[:2], 0) + 1
+            before.append(w)
     for v, _ in pair:
         after[v] = after.get(v, 0) + 1
+    for u, v, _ in triple:
+        after2[u, v] = after2.get((u, v), 0) + 1
     n, v = sum(c for w, c in count.items() if w != "<s>"), len(count) - 1
     n1, n2 = (sum(c == k for w, c in count.items() if w != "<s>") for k in (1, 2))
     d = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
@@ -336,13 +357,18 @@ def test_language_model(spark):
     assert len(got) == len(values)
     for i, t in enumerate(values):
         base = score = 0.0
-        before = "<s>"
+        before = ["<s>"]
         for w in words(t):
             c = count.get(w, 0)
             base += np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            one = (c - d) / n if c else d * v / n
-            p = one if before not in after else (max(pair.get((before, w), 0) - 0.75, 0) + 0.75 * after[before] * one) / count[before]
-            score, before = score + np.log10(p), w
+            p = (c - d) / n if c else d * v / n
+            if before[-1] in after:
+                p = (max(pair.get((before[-1], w), 0) - 0.75, 0) + 0.75 * after[before[-1]] * p) / count[before[-1]]
+            k = tuple(before[-2:])
+            if k in after2:
+                p = (max(triple.get((*k, w), 0) - 0.75, 0) + 0.75 * after2[k] * p) / pairs2[k]
+            score += np.log10(p)
+            before.append(w)
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words(t)), sum(w in count for w in words(t)), n, i not in train)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and abs(r.score - score) < 1e-3 * max(1, abs(score))
