@@ -12,8 +12,6 @@ import os
 import numpy as np
 import pyarrow.fs as pafs
 
-_HALVES = [(w, np.uint64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
-
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays of the form of rising values in [0, universe)."""
@@ -48,16 +46,34 @@ def relative(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64) + np.repeat(base, np.diff(np.append(some, len(values))))
 
 
+#: The place of the r-th set bit of a byte.
+_SELECT = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    for _r, _at in enumerate(i for i in range(8) if _byte >> i & 1):
+        _SELECT[_byte, _r] = _at
+
+
+def _every(byte: int) -> np.uint64:
+    return np.uint64(int.from_bytes(bytes([byte] * 8), "little"))
+
+
+_1, _2, _4, _ONE, _TOP, _BYTE = _every(0x55), _every(0x33), _every(0x0F), _every(0x01), _every(0x80), np.uint64(0xFF)
+
+
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th set bit."""
-    at = np.zeros(len(word), np.int64)
-    for w, mask in _HALVES:
-        c = np.bitwise_count(word & mask).astype(np.int64)
-        go = r >= c
-        r = r - c * go
-        word = np.where(go, word >> np.uint64(w), word)
-        at += w * go
-    return at
+    """Place of the r-th set bit: its byte by counts of all bytes at once, then by table."""
+    s = word - ((word >> np.uint64(1)) & _1)
+    s = (s & _2) + ((s >> np.uint64(2)) & _2)
+    s = ((s + (s >> np.uint64(4))) & _4) * _ONE  # each byte: set bits up to it
+    r = r.astype(np.uint64)
+    k = np.bitwise_count(((r * _ONE | _TOP) - s) & _TOP).astype(np.uint64) << np.uint64(3)
+    before = ((s << np.uint64(8)) >> k) & _BYTE
+    return k.astype(np.int64) + _SELECT[(word >> k) & _BYTE, r - before]
+
+
+def _trailing(word: np.ndarray) -> np.ndarray:
+    """Zeros below the lowest set bit."""
+    return np.bitwise_count(~word & (word - np.uint64(1))).astype(np.int64)
 
 
 class EliasFano:
@@ -83,12 +99,25 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return ((high << np.uint64(self.l)) | self.low(i)).astype(np.int64)
 
-    def within(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1."""
+        bit = self._select(i, True)
+        rest = (self.words[bit >> 6] >> (bit & 63).astype(np.uint64)) >> np.uint64(1)
+        after = bit + 1 + _trailing(rest)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(i[far] + 1, True)
+        full = lambda b, k: (((b - k).astype(np.uint64) << np.uint64(self.l)) | self.low(k)).astype(np.int64)
+        return full(bit, i), full(after, i + 1)
+
+    def base(self, lo: np.ndarray) -> np.ndarray:
+        """What relative() added to the values of the ranges that begin at lo."""
+        out = np.zeros(len(lo), np.int64)
+        later = np.flatnonzero(lo > 0)
+        out[later] = self[lo[later] - 1]
+        return out
+
+    def within(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: np.ndarray) -> np.ndarray:
         """find() of values relative to their ranges [lo, hi), as relative() made them; an empty range holds none."""
-        base = np.zeros(len(lo), np.int64)
-        later = lo > 0
-        if later.any():
-            base[later] = self[lo[later] - 1]
         # past the last of all values there is no bucket to look in
         at = np.full(len(value), -1, np.int64)
         want = value.astype(np.int64) + base
@@ -105,8 +134,14 @@ class EliasFano:
         if not self.n or not len(value):
             return np.full(len(value), -1, np.int64)
         b = (value >> np.uint64(self.l)).astype(np.int64)
-        start = np.where(b > 0, self._select(np.maximum(b - 1, 0), False) - (b - 1), 0)
-        stop = self._select(b, False) - b
+        bit = np.where(b > 0, self._select(np.maximum(b - 1, 0), False) + 1, 0)
+        start = bit - b
+        # the bucket's ones follow; where they reach the word's end, its closing zero is looked up
+        rest = ~(self.words[bit >> 6] >> (bit & 63).astype(np.uint64))
+        run = _trailing(rest)
+        stop = start + run
+        far = np.flatnonzero(run + (bit & 63) >= 64)
+        stop[far] = self._select(b[far], False) - b[far]
         if lo is not None:
             start, stop = np.maximum(start, lo), np.minimum(stop, hi)
         want = value & self.mask

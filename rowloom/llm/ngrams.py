@@ -278,13 +278,18 @@ class Reader:
             if kind == "triples" and s not in self.m.triples or kind == "pairs" and self.m.pairs[s + 1] == self.m.pairs[s]:
                 continue
             pointers, following, p, weights = self._level(kind, s)
+            # once for each context, then for its successors
             local = context[a:b] - base[s]
-            lo, hi = pointers[local], pointers[local + 1]
-            at = following.within(value[a:b], lo, hi)
+            first = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]]))
+            each = np.diff(np.append(first, len(local)))
+            local = local[first]
+            lo, hi = pointers.two(local)
+            weight = np.where(hi > lo, 10.0 ** (-weights[local].astype(float) / 65535 * DEEPEST), 1.0)
+            start = following.base(lo)
+            lo, hi, start, backoff[a:b] = (np.repeat(x, each) for x in (lo, hi, start, weight))
+            at = following.within(value[a:b], lo, hi, start)
             ok = at >= 0
             share[a:b][ok] = 10.0 ** (-p[at[ok]].astype(float) / 65535 * DEEPEST)
-            some = hi > lo
-            backoff[a:b][some] = 10.0 ** (-weights[local[some]].astype(float) / 65535 * DEEPEST)
             number[a:b][ok] = at[ok] + (self.m.pairs[s] if kind == "pairs" else 0)
             place[a:b][ok] = at[ok] - lo[ok]
         return share, backoff, number, place

@@ -310,6 +310,9 @@ def test_elias_fano(values, gap):
     e = elias_fano.EliasFano(elias_fano.encode(v, 10**12 + 1))
     assert e[np.arange(len(v))].tolist() == v.tolist()
     assert e.find(v).tolist() == list(range(len(v)))
+    if len(v) > 1:
+        a, b = e.two(np.arange(len(v) - 1))
+        assert a.tolist() == v[:-1].tolist() and b.tolist() == v[1:].tolist()
     other = np.array([x + gap for x in v.tolist() if x + gap <= 10**12 and x + gap not in values], np.uint64)
     assert (e.find(other) == -1).all()
 
@@ -324,7 +327,8 @@ def test_elias_fano_by_ranges(groups):
     for g, lo, hi in zip(groups, bounds[:-1], bounds[1:]):
         asked = sorted({*g, *(x + 1 for x in g), 0, 2**32 - 1})
         want = [int(lo) + g.index(x) if x in g else -1 for x in asked]
-        assert e.within(np.array(asked, np.uint64), np.full(len(asked), lo), np.full(len(asked), hi)).tolist() == want
+        low, high = np.full(len(asked), lo), np.full(len(asked), hi)
+        assert e.within(np.array(asked, np.uint64), low, high, e.base(low)).tolist() == want
 
 
 @pytest.mark.parametrize("shard", [1 << 30, 700])
