@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -142,12 +142,17 @@ def _positions(width: int, short: bool):
     return run
 
 
+def _digest() -> Column:
+    """A text's 256 bits, which stand for it in joins."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
 def _scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     """For benchmarks of any size: windows of both sides meet by hash; words are compared after the join."""
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("row", _digest())
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("key"), "text")
     items = items.mapInArrow(_positions(width, True), "h long, key string, i long, n long, words string").select("h", "n", "key", "words").distinct()
-    found = docs.select("row", "text").distinct().mapInArrow(_positions(width, False), "h long, key long, i long, n long, a long, b long").withColumnRenamed("key", "row")
+    found = docs.select("row", "text").distinct().mapInArrow(_positions(width, False), "h long, key binary, i long, n long, a long, b long").withColumnRenamed("key", "row")
     found = found.join(items, ["h", "n"]).join(docs.select("row", F.encode("text", "UTF-8").alias("raw")).dropDuplicates(["row"]), "row")
     lower = F.translate(F.decode(F.expr("substring(raw, int(a + 1), int(b - a))"), "UTF-8"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = found.where(F.regexp_replace(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), "^ | $", "") == F.col("words"))
@@ -176,12 +181,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, drop_from: i
     """docs with all its columns: rows that `drop_from` items or more are found in go; from the others the spans hit are taken out of the text, each for one space, and n_chars follows."""
     if _too_many(benchmark, max_broadcast_windows):
         given, n = free(docs, "spans", "n_items")
-        # rows of one id with several texts are told apart by their text
-        row = F.xxhash64("doc_id", "text")
+        # what is found is the text's, whatever its id
         (key,) = free(docs, "row")
-        rows = docs.withColumn(key, row)
-        texts = docs.select("doc_id", "text").distinct().withColumn("_row", row)
-        found = _scan_by_join(texts.select(F.col("_row").alias("doc_id"), "text"), benchmark.select("item_id", "text"), width).where("n_items > 0")
+        rows = docs.withColumn(key, _digest())
+        texts = docs.select("text").distinct()
+        found = _scan_by_join(texts.select(_digest().alias("doc_id"), "text"), benchmark.select("item_id", "text"), width).where("n_items > 0")
         found = found.select(F.col("doc_id").alias(key), F.col("spans").alias(given), F.col("n_items").alias(n)).dropDuplicates([key])
         text = F.expr(f"aggregate(reverse(`{given}`), encode(text, 'UTF-8'), (s, x) -> concat(substring(s, 1, x.start), encode(' ', 'UTF-8'), substring(s, x.end + 1)))")
         out = rows.join(found, key, "left").where(F.coalesce(n, F.lit(0)) < drop_from).withColumn("text", F.when(F.col(given).isNull(), F.col("text")).otherwise(F.decode(text, "UTF-8")))

@@ -272,8 +272,10 @@ class Reader:
         share, backoff = np.zeros(len(context)), np.ones(len(context))
         number, place = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
         shard = np.searchsorted(base, context, "right") - 1
-        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(1, np.int64)
         for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+            if a == b:
+                break
             s = int(shard[a])
             if kind == "triples" and s not in self.m.triples or kind == "pairs" and self.m.pairs[s + 1] == self.m.pairs[s]:
                 continue

@@ -11,11 +11,13 @@ groups that can be sorted apart, without losing a repeat:
    are repeats as a whole. An anchor with unequal units is examined further, once for each distinct unit.
 3. The bytes of those units are cut from the texts and grouped by anchor; each group's suffix
    array (`suffixes`, by linear grouping) brings equal windows together, and all but the
-   first of them are repeats. Groups of more than LARGE units are dealt out by window instead of
-   by anchor, so none grows with the input.
+   first of them are repeats. Groups of more than `large` units (a parameter, LARGE unless told) are
+   dealt out by window instead of by anchor, so none grows with the input.
 4. A last scan adds the repeats inside a document and takes the covered bytes out.
 
-Windows are compared by 64-bit hashes, units by 128 bits.
+So the suffix array decides between unequal units; equal units meet by 128 bits of hashes of unit
+and anchor, windows of the groups over `large` by as many of window and anchor, and repeats within a
+document by hashes held against the bytes.
 
 Defined cases: a null text is empty and loses nothing; a text shorter than `length` keeps all; a null
 doc_id counts as smaller than any; rows that repeat a doc_id with the same text are judged against
@@ -285,7 +287,7 @@ def _explode(length: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def spans(docs: DataFrame, length: int = 100, large: int | None = None) -> DataFrame:
     """(doc, a, b): bytes [a, b) of document doc are covered by strings that start in other documents before, or in it; repeats within one document only are left to the last scan."""
     if not GRAM + 20 <= length <= GRAM + 250:
         raise ValueError(f"length must be from {GRAM + 20} to {GRAM + 250}")
@@ -295,7 +297,7 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     found = keep(units.repartition(n, "m").sortWithinPartitions("m", "u", "doc", "at").mapInArrow(_meet, FOUND), "units")
     whole = found.where("m is null").select("doc", F.shiftright("at", 16).alias("a"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255)) + length).alias("b"))
     asked = found.where("m is not null")
-    large = asked.groupBy("m").count().where(F.col("count") > LARGE).select("m", F.lit(True).alias("large"))
+    large = asked.groupBy("m").count().where(F.col("count") > (LARGE if large is None else large)).select("m", F.lit(True).alias("large"))
     wants = asked.join(large, "m", "left").groupBy("doc").agg(F.collect_list(F.struct("m", "at", F.coalesce("large", F.lit(False)).alias("large"))).alias("wants"))
     key = F.coalesce("doc_id", F.lit(int(NULL))).alias("doc")
     texts = only_ids(docs.select(key, "text"), "doc", asked, "doc")
@@ -317,8 +319,11 @@ def _own_repeats(raw: np.ndarray, length: int):
     if not (t[1:] == t[:-1]).any():
         return np.empty(0, np.int64)
     order = np.argsort(h, kind="stable")
-    g = h[order]
-    return order[1:][g[1:] == g[:-1]]
+    again = np.flatnonzero(h[order][1:] == h[order][:-1])
+    # equal hashes are held against the bytes
+    view = np.lib.stride_tricks.sliding_window_view(raw, length)
+    same = np.concatenate([(view[order[k + 1]] == view[order[k]]).all(1) for k in np.array_split(again, max(1, len(again) >> 16))])
+    return order[again[same] + 1]
 
 
 def covered(raw: bytes, given, length: int) -> list[tuple[int, int]]:
@@ -346,10 +351,10 @@ def _kept(raw: bytes, runs) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _with_spans(docs: DataFrame, length: int):
+def _with_spans(docs: DataFrame, length: int, large: int | None = None):
     """docs that may have spans with them, and the rest with none: only the former are shuffled."""
     doc, maybe, given = free(docs, "doc", "maybe", "spans")
-    found = keep(spans(docs, length), "spans").withColumnRenamed("doc", doc)
+    found = keep(spans(docs, length, large), "spans").withColumnRenamed("doc", doc)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL)))
     grouped = found.groupBy(doc).agg(F.collect_list(F.struct("a", "b")).alias(given))
     flagged = mark_ids(docs.withColumn(doc, key), doc, found, doc, maybe)
@@ -359,9 +364,9 @@ def _with_spans(docs: DataFrame, length: int):
     return some.select(columns).union(none.select(columns))
 
 
-def digests(docs: DataFrame, length: int = 100) -> DataFrame:
+def digests(docs: DataFrame, length: int = 100, large: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is kept."""
-    rows = _with_spans(docs.select("doc_id", "text"), length)
+    rows = _with_spans(docs.select("doc_id", "text"), length, large)
 
     def run(batches):
         for batch in batches:
@@ -377,9 +382,9 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove(docs: DataFrame, length: int = 100, large: int | None = None) -> DataFrame:
     """docs, all columns, with the repeats taken out of text (whole characters: one that is covered in part stays) and n_chars to match."""
-    rows, schema = _with_spans(docs, length), docs.schema
+    rows, schema = _with_spans(docs, length, large), docs.schema
 
     def run(batches):
         for batch in batches:

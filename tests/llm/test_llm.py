@@ -402,11 +402,9 @@ def brute_removed(values, length):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeats(spark, seed, monkeypatch):
-    if seed == 2:
-        monkeypatch.setattr(substrings, "LARGE", 3)
+def test_repeats(spark, seed):
     values = texts(100, seed)
-    got = {r.doc_id: r for r in substrings.digests(frame(spark, values)).collect()}
+    got = {r.doc_id: r for r in substrings.digests(frame(spark, values), large=3 if seed == 2 else None).collect()}
     for i, (raw, mark) in enumerate(brute_removed(values, 100)):
         kept = bytes(b for b, m in zip(raw, mark) if not m)
         runs = len(re.findall(b"\1+", bytes(mark)))
@@ -416,6 +414,88 @@ def test_repeats(spark, seed, monkeypatch):
     assert out.columns == df.columns and all(r.text is None or r.n_chars == len(r.text) for r in out.collect())
 
 
+def test_repeats_in_very_long_texts(spark):
+    """Passages at the bounds of the pieces in which a text of over 4 MiB is hashed."""
+    r = random.Random(9)
+    long = "".join(r.choices("0123456789abcdef", k=(4 << 20) + 60_000))
+    cuts = [0, (4 << 20) - 120, (4 << 20) - 5, (4 << 20) + 30_000]
+    values = [long, "x".join(long[c:c + 200] for c in cuts), long[-150:] + "y" + long[:99]]
+    got = {r.doc_id: r for r in substrings.digests(frame(spark, values)).collect()}
+    assert [got[i].n_removed for i in range(3)] == [0, 800, 150]
+    assert got[1].kept_sha256 == hashlib.sha256(b"xxx").hexdigest()
+
+
+# --- all: nulls, repeats, clashing names, long texts ---
+
+
+def odd(spark):
+    rows = [(None, "a b c d e f g h i"), (None, None), (1, "a b c d e f g h i"), (1, "a b c d e f g h i"), (2, None), (3, ""), (4, "word " * 300_000), (5, "a b c d e f g h i")]
+    return spark.createDataFrame([(i, t, "mine", "t", 7) for i, t in rows], "doc_id long, text string, score string, tokens string, row int")
+
+
+def test_odd_rows(spark):
+    df, none = odd(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    b = spark.createDataFrame([(1, "c d e"), (1, "c d e"), (None, "a b")], "item_id long, text string")
+    outs = {
+        "near": minhash.near_duplicates(df), "licences": licenses.scan(df), "quality": quality.scored(df, none), "toxic": toxicity.scored(df, none), "lz": lz.edits(df), "bench": decontaminate.scan(df, b),
+        "join": decontaminate.scan(df, b, max_broadcast_windows=0), "bpe": bpe.digests(df, VOCABULARY, public_tokenizers.PATTERN), "lm": ngrams.scored(df), "repeats": substrings.digests(df),
+    }
+    for name, out in outs.items():
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == 8 and sorted(str(r[0]) for r in got) == ["1", "1", "2", "3", "4", "5", "None", "None"], name
+        twice = [r for r in got if r[0] == 1]
+        assert name == "lz" or twice[0] == twice[1], name
+    near = {r.doc_id: r for r in outs["near"].collect() if r.doc_id}
+    assert [near[i].component_id for i in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 1] and near[4].n_shingles == 1
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None", "None"]
+    for out in (decontaminate.clean(df, b), substrings.remove(df), toxicity.reject(df, toxicity.fit(df, none, fold(4) != 2), 0.9)):
+        assert out.columns == df.columns and out.count() == 8
+
+
+def test_ids_with_several_texts_keep_them(spark):
+    a, b = "one two three four five six seven", "quite other words stand in this one here"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.keep_one(df).collect()) == [(1, a), (2, a), (2, b)]
+
+
+# --- 3, 4, 8 by brute force ---
+
+
+def test_quality_statistic(spark):
+    """The score is the isotonic step of the two compressed sizes' difference."""
+    import zstandard
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, labels, fold(5) != 0)
+    sizes = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in model.dictionaries]
+    some = docs.limit(50).collect()
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in some:
+        raw = (r.text or "").encode()
+        x = (len(sizes[0].compress(raw)) - len(sizes[1].compress(raw))) / len(raw) if raw else 0.0
+        at = np.interp(x, model.calibrate.x, model.calibrate.p)
+        assert abs(got[r.doc_id] - min(1, max(0, at))) < 1e-12
+
+
+def test_toxicity_counts_and_features(spark):
+    from rowloom.llm import _text as X
+
+    texts_ = ["You vile fool! you FOOL", "a kind word", "vile, vile f00l", "fool you", "plain text here", ""]
+    y = [1, 0, 1, 1, 0, 0]
+    rows = spark.createDataFrame([(i % 8, label, t) for i, (t, label) in enumerate(zip(texts_, y))], "cell int, y int, text string").repartition(3)
+    counts = toxicity.count(rows, least=2)
+    words = {w: int(X.split(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), X.PLAIN).hashes()[0]) for w in ("vile", "fool", "you", "kind")}
+    whole = dict(zip(counts.key[counts.which == 0].tolist(), counts.n[counts.which == 0].sum(1).tolist()))
+    assert {w: whole.get(h) for w, h in words.items()} == {"vile": [0, 2], "fool": [0, 2], "you": [0, 2], "kind": None}
+    assert counts.texts.sum(0).tolist() == [3, 3]
+    lexicon = toxicity.Lexicon({words["vile"]: 2.0, words["fool"]: 3.0}, {})
+    x = toxicity.features(pa.array(texts_), lexicon)
+    assert x[:, 0].tolist() == [3, 0, 2, 1, 0, 0] and x[0, 1] == 3 / 5 and x[0, 6] == 3.0  # words of the lexicon, their density, the heaviest
+    assert x[2, 7] == 1 / 3 and x[0, 8] == 3 and x[2, 8] == 0 and x[3, 8] == 1  # obfuscated, near a second person
+    assert abs(x[0, 12] - 5 / 18) < 1e-12 and abs(x[0, 13] - 1 / len(texts_[0])) < 1e-12
+
+
 # --- empty tables, and the pipeline ---
 
 
