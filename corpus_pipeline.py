@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. Between stages the rows are written as Parquet to the shared folder
 and read again, so a stage that loses its executors begins from a table.
+
+Defined cases: null and empty texts are never toxic beyond the score of an empty text, copies of
+nothing, and pass unchanged; rows that repeat id and text stay once, those of one id with several
+texts all stay; null ids stay; empty tables give empty results; other columns are kept as they are.
 """
 from __future__ import annotations
 
