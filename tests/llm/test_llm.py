@@ -527,6 +527,15 @@ def test_pipeline_stages(spark, sf):
     assert docs.where("not exact").count() == 0
 
 
+def test_pipeline_on_odd_rows_and_empty_tables(spark, sf):
+    rows = [(None, "a b c d e f g h i"), (None, None), (1, "a b c d e f g h i"), (1, "a b c d e f g h i"), (2, None), (3, ""), (5, "a b c d e f g h i"), (6, "other words that stand alone here")]
+    for values, want in ((rows, ["1", "2", "3", "6", "None", "None"]), ([], [])):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in values], SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.keep(stage(spark, docs, sf), "odd")
+        assert sorted(str(r.doc_id) for r in docs.collect()) == want
+
+
 def test_arrow_views():
     from rowloom.llm import _text as X
 
