@@ -1,13 +1,13 @@
 """Byte-level BPE by a monoid tree reduction.
 
-A piece of text (a match of the pattern) is halved until the halves are short; each leaf is
+A piece of text (a match of the pattern) is halved until the halves have four bytes; each leaf is
 merged by rank, and neighbours are joined by encoding a window around their border anew. The
 window doubles on a side until the token outside it and the token next to it encode to
 themselves as a pair. A sequence of which each neighbouring pair encodes to itself is the
 encoding of the whole, so what lies outside is then settled. Decoding joins the tokens'
 bytes up a tree.
 
-Frequent pieces come from a bounded table of each worker. The vocabulary is read once by the
+Frequent pieces, leaves and windows come from bounded tables of each worker. The vocabulary is read once by the
 driver from a path that is a parameter and travels with the task; it is as large as its file.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; ids count from the
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,12 @@ from pyspark.sql import types as T
 
 #: Pieces that a worker's table holds before it starts anew.
 TABLE = 150_000
-LEAF = 24
+#: Bytes of a leaf; every longer piece goes down the tree.
+LEAF = 4
+#: Leaves and windows of up to so many bytes are kept, at most LEAVES of them.
+SHORT, LEAVES = 12, 60_000
+#: Windows longer than this are merged by a heap.
+LONG = 96
 
 
 class Bpe:
@@ -37,12 +43,13 @@ class Bpe:
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.pattern = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.leaves: dict[bytes, list[int]] = {}
         self.table = _Table(self)
 
     def leaf(self, piece: bytes) -> list[int]:
         """Merges by rank, of equal ranks the left one first."""
         rank, parts = self.rank, [piece[i:i + 1] for i in range(len(piece))]
-        if len(parts) > 4 * LEAF:
+        if len(parts) > LONG:
             return self._long_leaf(piece)
         none = 1 << 60
         near = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -91,16 +98,27 @@ class Bpe:
             return left + right
         i = j = 1
         while True:
-            inner = self.leaf(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
+            inner = self.window(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
             fixed_left = i >= len(left) or self.settled(left[-i - 1], inner[0])
             fixed_right = j >= len(right) or self.settled(inner[-1], right[j])
             if fixed_left and fixed_right:
                 return left[:-i] + inner + right[j:]
             i, j = i if fixed_left else min(2 * i, len(left)), j if fixed_right else min(2 * j, len(right))
 
+    def window(self, piece: bytes) -> list[int]:
+        """A leaf, or what lies around a border; short ones come up often and are kept."""
+        found = self.leaves.get(piece)
+        if found is None:
+            found = self.leaf(piece)
+            if len(piece) <= SHORT:
+                if len(self.leaves) >= LEAVES:
+                    self.leaves.clear()
+                self.leaves[piece] = found
+        return found
+
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF:
-            return self.leaf(piece)
+            return self.window(piece)
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
@@ -125,7 +143,8 @@ class _Table(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.bpe.piece(piece.encode()), "<u4").tobytes()
+        ids = self.bpe.piece(piece.encode())
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= TABLE:
                 self.clear()

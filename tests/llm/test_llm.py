@@ -287,6 +287,19 @@ def test_bpe_long_pieces(codec):
         assert own.encode(t).tolist() == library.encode_ordinary(t)
 
 
+def test_bpe_tree_with_tables_that_keep_starting_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE", 3)
+    monkeypatch.setattr(bpe, "LEAVES", 2)
+    with open(VOCABULARY, "rb") as f:
+        own = bpe.Bpe(f.read(), public_tokenizers.PATTERN)
+    r = random.Random(7)
+    for n in (1, 4, 5, 9, 24, 25, 60, 97, 300):
+        for _ in range(30):
+            piece = "".join(r.choice("aeintrs kxé") for _ in range(n)).encode()
+            assert own.tree(piece) == own.leaf(piece)
+            assert own.decode(own.tree(piece)) == piece
+
+
 def test_bpe_queries(spark, codec):
     values = texts(40, 4)
     got = {r.doc_id: r for r in bpe.digests(frame(spark, values), VOCABULARY, public_tokenizers.PATTERN).collect()}
