@@ -75,6 +75,7 @@ class Run:
         marker = a.get("inject", "${{%}}").split("%")
         self.slot_text = re.compile(re.escape(marker[0]) + r"(.+?)" + re.escape(marker[1]), re.S)
         self.streaming = rows is not None
+        self.ids = (0, max(0, self.count - 1))
         self.df = rows if rows is not None else spark.range(0, self.count, 1, partitions).withColumnRenamed("id", ID)
         self.info: dict[str, Info] = {}
         self.pools: dict[str, DataFrame] = {}
@@ -177,7 +178,7 @@ class Run:
         self._whole("a share of a sub-population")
         name = self.fresh()
         n = self.df.where(cond).count()
-        self.df = prefix.running(self.df, ID, F.when(cond, 1).otherwise(0).cast("long"), name)
+        self.df = prefix.running(self.df, ID, F.when(cond, 1).otherwise(0).cast("long"), name, known=self.ids)
         return Domain(cond, F.col(name) - 1, n)
 
     def _sequence(self, node: Node, outer: Domain):
@@ -673,9 +674,9 @@ class Run:
         base = F.lit(a["base"]).cast(kind) if "base" in a else None
         out, op = self.fresh(), a.get("accumulate", "sum")
         if "reset" in a:
-            self.df = prefix.running_reset(self.df, ID, v, self.info[a["reset"]].name, out, op, base)
+            self.df = prefix.running_reset(self.df, ID, v, self.info[a["reset"]].name, out, op, base, known=self.ids)
         else:
-            self.df = prefix.running(self.df, ID, v, out, op, base)
+            self.df = prefix.running(self.df, ID, v, out, op, base, known=self.ids)
         return F.when(F.col(i.name).isNotNull(), F.coalesce(F.col(out).cast(kind).cast("string"), F.lit(""))), {"kind": i.kind, "decimals": d}
 
     def gen_stat(self, a, stream, domain, row, rank, n):
