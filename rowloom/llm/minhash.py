@@ -5,9 +5,9 @@
 2. Documents of equal sets are one node; its smallest id stands for it.
 3. Nodes that share a band key are candidates: first each against the smallest of its
    bucket; then, in buckets with many pairs between unlinked parts, each member of another part
-   against one more, picked by hash, as long as that links any; then, in the buckets left, the parts against each
-   other in blocks. A pair goes on if sizes allow the threshold and the collision-corrected
-   likeness from the bit counts is within six standard errors of it. Of the parts a pair
+   against one more, picked by hash, as long as that pays; then, in the buckets left, the parts against each
+   other in blocks, but nothing inside a bucket's largest part. A pair goes on if sizes allow the threshold and the
+   collision-corrected likeness from the bit counts is within six standard errors of it. Of the parts a pair
    also goes only if the shingles of their pivot that both have, and all that the one with
    fewer others has beside them, would reach the threshold: an upper bound, so no link is lost.
 4. What is left is confirmed on the full sets, from texts that a bitmap of fixed size picked
@@ -18,7 +18,7 @@
 
 The bands are chosen so that a pair at the threshold shares none with a chance under one in
 a million. No bucket is capped; hot buckets cost a row for each member, and blocks of
-1,024 where parts stay apart.
+1,024 where parts stay apart: members times those outside the largest part.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; a null
 doc_id is never linked, and its component is null; rows that repeat a doc_id with the same text are
@@ -123,6 +123,8 @@ def _possible(percent: int) -> Column:
 COMPARED = "a long, b long, linked boolean, beyond long, bits array<long>"
 #: Members and shingles that a tile of comparisons holds at most, about, from either side.
 TILE, TILE_SHINGLES = 256, 1 << 20
+#: A round of further pivots is followed by another if it linked this share of its pairs, or left at most that share of the open ones.
+LINKS, CLOSES = 1 / 64, 0.9
 
 
 def _compare(k: int, percent: int):
@@ -251,29 +253,38 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
 
     # A part: what links already join. Buckets of one part are done. While a bucket's pairs between
     # parts far outnumber its members, each of these meets one more of them, another in each bucket and round.
+    # A round reads all texts, so there is another only if the last one linked a share of its pairs or closed a
+    # share of the open ones; the blocks find what is left in any case.
+    before, yields = None, False
     for turn in itertools.count():
         parted = members.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
         sizes = parted.groupBy("key", "part").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)), F.col("id").alias("i"))).alias("h"))
-        split = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("n"), F.min(F.struct("h", "part")).alias("p")).where("n > 1")
-        split = keep(split.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"), "m", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open"), F.col("p.h.i").alias("pivot"), F.col("p.part").alias("its")), "split")
-        wide = split.where(F.col("open") > 8 * F.col("m")).select("key", "pivot", "its")
-        if wide.isEmpty():
+        split = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("n"), F.min(F.struct("h", "part")).alias("p"), F.max(F.struct("c", "part")).alias("l")).where("n > 1")
+        split = keep(split.select("key", F.col("l.part").alias("largest"), F.ceil(F.col("l.c") / block).cast("int").alias("inner"), F.ceil((F.col("m") - F.col("l.c")) / block).cast("int").alias("outer"), "m", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open"), F.col("p.h.i").alias("pivot"), F.col("p.part").alias("its")), "split")
+        wide = split.where(F.col("open") > 8 * F.col("m"))
+        pending = wide.agg(F.sum("open")).first()[0]
+        if not pending or before and not yields and pending > CLOSES * before:
             break
+        before, wide = pending, wide.select("key", "pivot", "its")
         met = parted.join(wide, "key").where("part != its").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "pivot")
         met = met.groupBy("a", "b").agg(F.min("pivot").alias("hub")).join(tried, ["a", "b"], "left_anti")
         met = keep(possible(met).select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("na", "nb").alias("n")), "met")
         more = keep(compare(docs, keep(_by_hub(met, "hub", "other"), "tiles"), shingle, percent).where("linked").select("a", "b").distinct(), "more")
-        if more.isEmpty():
+        linked = more.count()
+        if not linked:
             break
+        yields = linked >= LINKS * met.count()
         tried, old, part = tried.union(met.select("a", "b")), part, keep(_joined(part, more), "parts")
         drop(old, split)
     seen = compared.groupBy(F.col("a").alias("first"), F.col("b").alias("id")).agg(F.max("beyond").alias("e"), F.first("bits").alias("t"), F.count("*").alias("texts")).where("texts = 1").drop("texts")
-    left = parted.join(split.select("key", "blocks"), "key").join(nodes, "id").join(seen, ["first", "id"], "left")
-    left = keep(left.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "left")
+    left = parted.join(split.select("key", "largest", "inner", "outer"), "key").join(nodes, "id").join(seen, ["first", "id"], "left")
+    # blocks 0 to outer - 1 hold what is outside the bucket's largest part and meet all blocks; the inner ones, from outer on, hold that part and don't meet each other
+    apart = F.col("part") != F.col("largest")
+    left = keep(left.withColumn("blk", F.when(apart, F.pmod(F.xxhash64("id"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).cast("int")), "left")
     # a pair that shares several bands is made by the first of them
-    one = left.select("key", F.col("bands").alias("ba"), F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("e").alias("ea"), F.col("t").alias("ta"), F.col("blk").alias("x"), F.explode(F.expr("sequence(blk, blocks - 1)")).alias("y"))
-    two = left.select("key", F.col("bands").alias("bb"), F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("e").alias("eb"), F.col("t").alias("tb"), F.explode(F.expr("sequence(0, blk)")).alias("x"), F.col("blk").alias("y"))
-    rest = one.join(two, ["key", "x", "y"]).where((F.col("pa") != F.col("pb")) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))) & (F.col("key") == _first_shared()) & _possible(percent) & ~_beyond_reach(percent))
+    one = left.select("key", F.col("bands").alias("ba"), F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("e").alias("ea"), F.col("t").alias("ta"), F.col("blk").alias("x"), F.explode(F.expr("sequence(if(blk < outer, blk, 0), outer - 1)")).alias("y"))
+    two = left.where("blk < outer").select("key", F.col("bands").alias("bb"), F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("e").alias("eb"), F.col("t").alias("tb"), F.explode(F.expr("concat(sequence(0, blk), sequence(outer, outer + inner - 1))")).alias("x"), F.col("blk").alias("y"))
+    rest = one.join(two, ["key", "x", "y"]).where((F.col("pa") != F.col("pb")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b"))) & (F.col("key") == _first_shared()) & _possible(percent) & ~_beyond_reach(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     # tiles of these: by the smallest pivot of either end, in parts by hash
     cell = left.groupBy("id").agg(F.min("first").alias("cell"), F.first("n").alias("n"))

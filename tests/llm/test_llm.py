@@ -97,6 +97,23 @@ def test_near_duplicates_in_blocks_and_rounds(spark):
     assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute_components(values, 3, 85)
 
 
+def test_near_duplicates_rounds_that_link_little(spark, monkeypatch):
+    """A large part, and texts linked with one of its members each or with none: rounds end when they don't pay, and blocks find the rest."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(128)]
+    changed = lambda w, at: [f"z{r.random()}" if i in at else x for i, x in enumerate(w)]
+    part = [changed(base, {2 * i + 3}) for i in range(60)]
+    apart = [changed(w, set(r.sample([j for j in range(1, 127, 2) if j != 2 * i + 3], 3))) for i, w in enumerate(part)]
+    alone = [changed(base, set(r.sample(range(2, 127, 2), 6))) for _ in range(150)]
+    values = [" ".join(w) for w in [*part, *apart, *alone]]
+    r.shuffle(values)
+    kept, write = [], minhash.keep
+    monkeypatch.setattr(minhash, "keep", lambda df, kind="table": kept.append(kind) or write(df, kind))
+    got = minhash.near_duplicates(frame(spark, values), shingle=3, percent=85, block=8)
+    assert sorted(tuple(x) for x in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute_components(values, 3, 85)
+    assert 1 <= kept.count("met") <= 2
+
+
 def test_keep_one(spark):
     values = texts(120, 3)
     kept = {i for i, _, _, k in brute_components(values, 5, 80) if k}
