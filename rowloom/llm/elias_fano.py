@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import mmap
 import os
+from functools import cached_property
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -46,11 +47,11 @@ def relative(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64) + np.repeat(base, np.diff(np.append(some, len(values))))
 
 
-#: The place of the r-th set bit of a byte.
-_SELECT = np.zeros((256, 8), np.uint8)
+#: The place of the r-th set bit of a byte, at 8 * byte + r.
+_SELECT = np.zeros(256 * 8, np.int64)
 for _byte in range(256):
     for _r, _at in enumerate(i for i in range(8) if _byte >> i & 1):
-        _SELECT[_byte, _r] = _at
+        _SELECT[8 * _byte + _r] = _at
 
 
 def _every(byte: int) -> np.uint64:
@@ -65,10 +66,10 @@ def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     s = word - ((word >> np.uint64(1)) & _1)
     s = (s & _2) + ((s >> np.uint64(2)) & _2)
     s = ((s + (s >> np.uint64(4))) & _4) * _ONE  # each byte: set bits up to it
-    r = r.astype(np.uint64)
+    r = r.view(np.uint64)
     k = np.bitwise_count(((r * _ONE | _TOP) - s) & _TOP).astype(np.uint64) << np.uint64(3)
     before = ((s << np.uint64(8)) >> k) & _BYTE
-    return k.astype(np.int64) + _SELECT[(word >> k) & _BYTE, r - before]
+    return k.view(np.int64) + _SELECT[((((word >> k) & _BYTE) << np.uint64(3)) + r - before).view(np.int64)]
 
 
 def _trailing(word: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ class EliasFano:
 
     def low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.l
-        return (self.low8[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
+        return (self.low8[bit >> 3] >> (bit & 7).view(np.uint64)) & self.mask
 
     def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
         rank = self.ones if ones else self.zeros
@@ -96,17 +97,17 @@ class EliasFano:
         return w * 64 + _in_word(word if ones else ~word, i - rank[w].astype(np.int64))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        high = (self._select(i, True) - i).astype(np.uint64)
-        return ((high << np.uint64(self.l)) | self.low(i)).astype(np.int64)
+        high = (self._select(i, True) - i).view(np.uint64)
+        return ((high << np.uint64(self.l)) | self.low(i)).view(np.int64)
 
     def two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values at i and at i + 1."""
         bit = self._select(i, True)
-        rest = (self.words[bit >> 6] >> (bit & 63).astype(np.uint64)) >> np.uint64(1)
+        rest = (self.words[bit >> 6] >> (bit & 63).view(np.uint64)) >> np.uint64(1)
         after = bit + 1 + _trailing(rest)
         far = np.flatnonzero(rest == 0)
         after[far] = self._select(i[far] + 1, True)
-        full = lambda b, k: (((b - k).astype(np.uint64) << np.uint64(self.l)) | self.low(k)).astype(np.int64)
+        full = lambda b, k: (((b - k).view(np.uint64) << np.uint64(self.l)) | self.low(k)).view(np.int64)
         return full(bit, i), full(after, i + 1)
 
     def base(self, lo: np.ndarray) -> np.ndarray:
@@ -120,24 +121,27 @@ class EliasFano:
         """find() of values relative to their ranges [lo, hi), as relative() made them; an empty range holds none."""
         # past the last of all values there is no bucket to look in
         at = np.full(len(value), -1, np.int64)
-        want = value.astype(np.int64) + base
+        want = value.view(np.int64) + base
         some = np.flatnonzero((lo < hi) & (want <= self.last))
-        at[some] = self.find(want[some].astype(np.uint64), lo[some], hi[some])
+        if len(some) == len(at):
+            return self.find(want.view(np.uint64), lo, hi)
+        at[some] = self.find(want[some].view(np.uint64), lo[some], hi[some])
         return at
 
-    @property
+    @cached_property
     def last(self) -> int:
         return int(self[np.array([self.n - 1])][0]) if self.n else -1
 
     def find(self, value: np.ndarray, lo=None, hi=None) -> np.ndarray:
-        """The place of each value (uint64), in [lo, hi) if given, or -1: a search for its successor by low bits among those of its high bits."""
+        """The place of each value (uint64), in [lo, hi) if given, or -1: a search by low bits for the last that isn't above it among those of its high bits."""
+        out = np.full(len(value), -1, np.int64)
         if not self.n or not len(value):
-            return np.full(len(value), -1, np.int64)
-        b = (value >> np.uint64(self.l)).astype(np.int64)
+            return out
+        b = (value >> np.uint64(self.l)).view(np.int64)
         bit = np.where(b > 0, self._select(np.maximum(b - 1, 0), False) + 1, 0)
         start = bit - b
         # the bucket's ones follow; where they reach the word's end, its closing zero is looked up
-        rest = ~(self.words[bit >> 6] >> (bit & 63).astype(np.uint64))
+        rest = ~(self.words[bit >> 6] >> (bit & 63).view(np.uint64))
         run = _trailing(rest)
         stop = start + run
         far = np.flatnonzero(run + (bit & 63) >= 64)
@@ -145,17 +149,24 @@ class EliasFano:
         if lo is not None:
             start, stop = np.maximum(start, lo), np.minimum(stop, hi)
         want = value & self.mask
-        end = stop.copy()
-        live = np.flatnonzero(start < stop)
+        size = stop - start
+        live = np.flatnonzero(size > 1)
+        at, left, sought = start[live], size[live], want[live]
         while len(live):
-            mid = (start[live] + stop[live]) >> 1
-            less = self.low(mid) < want[live]
-            start[live] = np.where(less, mid + 1, start[live])
-            stop[live] = np.where(less, stop[live], mid)
-            live = live[start[live] < stop[live]]
-        ok = start < end
-        ok[ok] = self.low(start[ok]) == want[ok]
-        return np.where(ok, start, -1)
+            half = left >> 1
+            middle = at + half
+            at = np.where(self.low(middle) <= sought, middle, at)
+            left -= half
+            more = left > 1
+            # one that is left alone stays where it is, so they are put aside only when many
+            if 4 * np.count_nonzero(more) < 3 * len(live):
+                start[live] = at
+                live, at, left, sought = live[more], at[more], left[more], sought[more]
+        some = np.flatnonzero(size > 0)
+        at = start[some]
+        ok = self.low(at) == want[some]
+        out[some[ok]] = at[ok]
+        return out
 
 
 def save(folder: str, name: str, arrays: dict[str, np.ndarray], attempt: str) -> None:

@@ -61,13 +61,37 @@ def _tokens(data, off):
     return np.insert(h, w.at[1:], END), w.at + np.arange(len(w.at))
 
 
-def _before(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tok)
-    out[1:] = tok[:-1]
-    out[at[:-1]] = START
+def _before(x: np.ndarray, at: np.ndarray, first) -> np.ndarray:
+    """What stands before each token; `first` before a document's first."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[at[:-1]] = first
     return out
 
 
+def _distinct(keys: np.ndarray, bits: int):
+    """The distinct keys (uint64, below 2^bits) in order, and for each key its place among them.
+
+    Keys are sorted with their positions in the lowest bits of one number, which is several times
+    as fast as a sort of positions by keys. Where there is no room, their highest bits go with the
+    positions, and should different keys share these, positions are sorted after all.
+    """
+    room = np.uint64(len(keys).bit_length())
+    low = (np.uint64(1) << room) - np.uint64(1)
+    fits = bits + int(room) <= 64
+    both = (keys << room if fits else keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & low).view(np.int64)
+    rising = both >> room if fits else keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(rising[1:], rising[:-1], out=new[1:])
+    if not fits and (new[1:] & (both[1:] >> room == both[:-1] >> room)).any():
+        return np.unique(keys, return_inverse=True)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return rising[new], back
+
+
 def _counted(keys: np.ndarray, counts: np.ndarray):
     """Equal keys in one, in order."""
     order = np.argsort(keys, kind="stable")
@@ -104,6 +128,16 @@ def _send(keys, counts, shard_of):
         yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[i:i + 64]], pa.int32()), pa.array([_block(keys[a:b], counts[a:b]) for a, b in zip(cuts[i:i + 64], ends[i:i + 64], strict=True)], pa.binary())], names=["shard", "block"])
 
 
+def _reusing(run):
+    """A pass over batches that keeps freed memory until its end."""
+
+    def kept(batches):
+        with X.reused():
+            yield from run(batches)
+
+    return kept
+
+
 def _count(keys_of, shard_of):
     def run(batches):
         held: list[tuple] = []
@@ -121,7 +155,7 @@ def _count(keys_of, shard_of):
         if held:
             yield from _send(*_counted(*map(np.concatenate, zip(*held, strict=True))), shard_of)
 
-    return run
+    return _reusing(run)
 
 
 def _gathered(batches):
@@ -155,7 +189,11 @@ def _write_words(folder: str, bits: int):
             row = (s, len(keys), len(real), int(real.sum()), int((real == 1).sum()), int((real == 2).sum()))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["shard", "ids", "v", "n", "n1", "n2"])
 
-    return run
+    return _reusing(run)
+
+
+#: What each step stands for.
+_SHARES = 10.0 ** (-np.arange(65536).astype(float) / 65535 * DEEPEST)
 
 
 def _steps(log: np.ndarray) -> np.ndarray:
@@ -187,7 +225,7 @@ def _write_level(kind: str, folder: str, base: np.ndarray, shift: int):
             most = int(np.bincount(group).max()) if len(group) else 0
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (s, len(keys), most)], names=["shard", "keys", "most"])
 
-    return run
+    return _reusing(run)
 
 
 class Model:
@@ -286,62 +324,59 @@ class Reader:
             each = np.diff(np.append(first, len(local)))
             local = local[first]
             lo, hi = pointers.two(local)
-            weight = np.where(hi > lo, 10.0 ** (-weights[local].astype(float) / 65535 * DEEPEST), 1.0)
+            weight = np.where(hi > lo, _SHARES[weights[local]], 1.0)
             start = following.base(lo)
             lo, hi, start, backoff[a:b] = (np.repeat(x, each) for x in (lo, hi, start, weight))
             at = following.within(value[a:b], lo, hi, start)
             ok = at >= 0
-            share[a:b][ok] = 10.0 ** (-p[at[ok]].astype(float) / 65535 * DEEPEST)
-            number[a:b][ok] = at[ok] + (self.m.pairs[s] if kind == "pairs" else 0)
-            place[a:b][ok] = at[ok] - lo[ok]
+            share[a:b][ok] = _SHARES[p[at[ok]]]
+            if kind == "pairs":
+                number[a:b] = np.where(ok, at + self.m.pairs[s], -1)
+                place[a:b] = np.where(ok, at - lo, -1)
         return share, backoff, number, place
 
-    def pairs(self, v: np.ndarray, w: np.ndarray):
-        """_after() of the words w (ids, -1: unseen) after v, for each occurrence."""
-        n = len(v)
-        out = np.zeros(n), np.ones(n), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        some = np.flatnonzero(v >= 0)
+    def pairs(self, ids: np.ndarray, v: np.ndarray, w: np.ndarray):
+        """_after() of each distinct pair of the words w after v (places among ids), then the pairs' second words, and for each occurrence its place among the pairs."""
+        bits = len(ids).bit_length()
+        keys, back = _distinct((v.view(np.uint64) << np.uint64(bits)) | w.view(np.uint64), 2 * bits)
+        second = (keys & np.uint64((1 << bits) - 1)).view(np.int64)
+        context, value = ids[(keys >> np.uint64(bits)).view(np.int64)], ids[second]
         # a word never seen has no id; it is asked for past all of them, for the context's sake
-        keys = (v[some].astype(np.uint64) << np.uint64(32)) | np.where(w[some] < 0, 0xFFFFFFFF, w[some]).astype(np.uint64)
-        keys, back = np.unique(keys, return_inverse=True)
-        got = self._after("pairs", self.m.base, (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF))
-        for x, y in zip(out, got, strict=True):
-            x[some] = y[back]
+        value = np.where(value < 0, 0xFFFFFFFF, value).view(np.uint64)
+        return *self._known("pairs", self.m.base, context, value), second, back
+
+    def triples(self, number: np.ndarray, place: np.ndarray, pair: np.ndarray, at: np.ndarray):
+        """Discounted share and back-off weight of each distinct pair of pairs, one after the other in a text, the second of them, and for each occurrence its place. number and place: of the pairs (-1: unseen), pair: of each token, at: bounds of documents."""
+        bits = len(number).bit_length()
+        # 0: no pair before
+        keys, back = _distinct((_before(pair + 1, at, 0).view(np.uint64) << np.uint64(bits)) | pair.view(np.uint64), 2 * bits)
+        second = (keys & np.uint64((1 << bits) - 1)).view(np.int64)
+        context, value = np.append(-1, number)[(keys >> np.uint64(bits)).view(np.int64)], place[second]
+        value = np.where(value < 0, (1 << self.m.shift) - 1, value).view(np.uint64)  # no place is so high
+        return *self._known("triples", self.m.pairs, context, value)[:2], second, back
+
+    def _known(self, kind: str, base: np.ndarray, context: np.ndarray, value: np.ndarray):
+        """_after() where contexts may be unseen (-1) and rise otherwise."""
+        some = np.flatnonzero(context >= 0)
+        if len(some) == len(context):
+            return self._after(kind, base, context, value)
+        n = len(context)
+        out = np.zeros(n), np.ones(n), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        for x, y in zip(out, self._after(kind, base, context[some], value[some]), strict=True):
+            x[some] = y
         return out
 
-    def triples(self, pair: np.ndarray, place: np.ndarray):
-        """_after() of the successors at `place` (-1: unseen) after pairs by number (-1: none), for each occurrence."""
-        n = len(pair)
-        share, backoff = np.zeros(n), np.ones(n)
-        some = np.flatnonzero(pair >= 0)
-        top = (1 << self.m.shift) - 1  # no place is so high
-        keys = (pair[some].astype(np.uint64) << np.uint64(self.m.shift)) | np.where(place[some] < 0, top, place[some]).astype(np.uint64)
-        keys, back = np.unique(keys, return_inverse=True)
-        got = self._after("triples", self.m.pairs, (keys >> np.uint64(self.m.shift)).astype(np.int64), keys & np.uint64(top))
-        share[some], backoff[some] = got[0][back], got[1][back]
-        return share, backoff
-
 
 _readers: dict[str, Reader] = {}
 
 
 def _read(reader: Reader, data: np.ndarray, off: np.ndarray):
-    """Tokens of a chunk with their contexts: bounds of documents, ids, counts, the id and count of the word before."""
+    """Tokens of a chunk with their contexts: bounds of documents, ids and counts of the distinct words, the place among these of each token and of the word before it."""
     tok, at = _tokens(data, off)
-    names, inverse = np.unique(np.concatenate([tok, [START]]), return_inverse=True)
+    names, inverse = _distinct(np.append(tok, START), 64)
     ids, counts = reader.ids(names)
-    w, c = ids[inverse], counts[inverse]
-    v = _before(w[:-1], at)
-    v[at[:-1]] = w[-1]
-    return at, w[:-1], c[:-1], v
-
-
-def _pair_before(number: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each token the number of the pair that ends just before it; -1 for a document's first."""
-    out = np.full(len(number), -1, np.int64)
-    out[1:] = number[:-1]
-    out[at[:-1]] = -1
-    return out
+    w = inverse[:-1]
+    return at, ids, counts, w, _before(w, at, inverse[-1])
 
 
 def train(docs: DataFrame, folder: str | None = None) -> Model:
@@ -371,8 +406,9 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         reader = model.reader()
 
         def look(data, off):
-            _, w, _, v = _read(reader, data, off)
-            return (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
+            _, ids, _, w, v = _read(reader, data, off)
+            ids = ids.view(np.uint64)
+            return (ids << np.uint64(32))[v] | ids[w]
 
         return look
 
@@ -384,11 +420,11 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         reader = model.reader()
 
         def look(data, off):
-            at, w, _, v = _read(reader, data, off)
-            _, _, number, place = reader.pairs(v, w)
-            before = _pair_before(number, at)
+            at, ids, _, w, v = _read(reader, data, off)
+            _, _, number, place, _, pair = reader.pairs(ids, v, w)
+            before = _before(number[pair], at, -1)
             some = np.flatnonzero(before >= 0)
-            return (before[some].astype(np.uint64) << np.uint64(model.shift)) | place[some].astype(np.uint64)
+            return (before[some].view(np.uint64) << np.uint64(model.shift)) | place[pair[some]].view(np.uint64)
 
         return look
 
@@ -405,23 +441,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         reader = model.reader()
         for batch, first, end, data, off in X.text_batches(batches, TOGETHER):
             docs_ = end - first
-            at, w, c, v = _read(reader, data, off)
-            doc = np.repeat(np.arange(docs_), np.diff(at))
+            at, ids, c, w, v = _read(reader, data, off)
             n, size = model.n, model.v
             base = np.log10((c + 0.1) / (n + 0.1 * (size + 1)))
             if n:
                 p = np.where(c > 0, (c - model.d) / n, model.d * size / n)
-                share, backoff, number, place = reader.pairs(v, w)
-                p = share + backoff * p
-                share, backoff = reader.triples(_pair_before(number, at), place)
-                log = np.log10(share + backoff * p)
+                share, backoff, number, place, second, pair = reader.pairs(ids, v, w)
+                p = share + backoff * p[second]
+                share, backoff, second, triple = reader.triples(number, place, pair, at)
+                log = np.log10(share + backoff * p[second])[triple]
             else:
                 log = np.zeros(len(w))
-            total = lambda x: np.bincount(doc, weights=x, minlength=docs_)
+            total = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  each document has an end at least
             ids_ = batch.column(0).slice(first, docs_).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids_, pa.array(np.diff(at), pa.int64()), pa.array(total(c > 0).astype(np.int64)), pa.array(total(base)), pa.array(total(log))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([ids_, pa.array(np.diff(at), pa.int64()), pa.array(total((c > 0).astype(np.int64)[w])), pa.array(total(base[w])), pa.array(total(log))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(_reusing(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def scored(docs: DataFrame, *, folds: int = 10, held: int = 0) -> DataFrame:

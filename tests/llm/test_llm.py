@@ -3,6 +3,7 @@ import base64
 import hashlib
 import random
 import re
+import resource
 import textwrap
 
 import numpy as np
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowloom.llm import bpe, decontaminate, elias_fano, licenses, lz, minhash, ngrams, quality, queries, substrings, suffixes, toxicity, warc
+from rowloom.llm import _text, bpe, decontaminate, elias_fano, licenses, lz, minhash, ngrams, quality, queries, substrings, suffixes, toxicity, warc
 from rowloom.llm._labels import Isotonic, fold
 from rowloom.llm._order import upper_bounds
 
@@ -361,6 +362,50 @@ def test_elias_fano_by_ranges(groups):
         assert e.within(np.array(asked, np.uint64), low, high, e.base(low)).tolist() == want
 
 
+def test_elias_fano_looks(monkeypatch):
+    """One look at the low bits where a range has one value of the bucket, and in long buckets at most one more than halvings need."""
+    looks = [0]
+    low = elias_fano.EliasFano.low
+    monkeypatch.setattr(elias_fano.EliasFano, "low", lambda self, i: (looks.__setitem__(0, looks[0] + len(i)), low(self, i))[1])
+    for group, most in (([7], 1), (list(range(100, 9100, 3)), 13)):
+        values, bounds = np.array(group * 50, np.uint64), np.arange(51) * len(group)
+        # a far last value makes the buckets wide
+        rising = np.append(elias_fano.relative(values, bounds), np.uint64(10**9))
+        e = elias_fano.EliasFano(elias_fano.encode(rising, 10**9 + 1))
+        lo = np.repeat(bounds[:-1], len(group))
+        base = e.base(lo)
+        e.last  # noqa: B018  looked up once
+        looks[0] = 0
+        assert e.within(values, lo, lo + len(group), base).tolist() == list(range(len(values)))
+        assert looks[0] <= most * len(values)
+        assert (e.within(values + np.uint64(1), lo, lo + len(group), base) == -1).all()
+
+
+@pytest.mark.parametrize("bits", [20, 40, 64])
+def test_distinct_keys(bits):
+    r = np.random.default_rng(bits)
+    some = r.integers(0, 1 << min(bits, 63), 500, dtype=np.uint64)
+    for keys in (some, r.choice(some, 5000), r.integers(0, 9, 3000, dtype=np.uint64), np.append(some, (np.uint64(1) << np.uint64(bits - 1)) + np.arange(40, dtype=np.uint64)[::-1]), some[:1]):
+        for got, want in zip(ngrams._distinct(keys, bits), np.unique(keys, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+
+
+def test_memory_is_reused():
+    if _text._libc is None:
+        pytest.skip("no glibc")
+    faults = lambda: resource.getrusage(resource.RUSAGE_THREAD).ru_minflt
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize()
+    with _text.reused():
+        before = faults()
+        for _ in range(40):
+            np.full(1 << 20, 1)
+        assert faults() - before < 40 * 2048 // 4
+        several = [np.full(1 << 20, 1) for _ in range(12)]
+        most = resident()
+        del several
+    assert resident() < most - 12 * (6 << 20)
+
+
 @pytest.mark.parametrize("shard", [1 << 30, 700])
 def test_language_model(spark, monkeypatch, shard):
     monkeypatch.setattr(ngrams, "SHARD", shard)
